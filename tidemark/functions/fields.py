@@ -7,9 +7,10 @@ left in the plan; on a VARIANT payload the type is tested per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,3 +117,38 @@ def resolve(schema: T.StructType, path: str) -> FieldValue:
     if isinstance(data_type, T.VariantType):
         return _variant_value(column, [])
     return _typed_value(column, data_type)
+
+
+Resolver = Callable[[str], FieldValue]
+
+
+def resolver(schema: T.StructType) -> Resolver:
+    return lambda path: resolve(schema, path)
+
+
+def compute_once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that later filters do not copy below this point.
+
+    A filter on a projected column is rewritten onto its inputs, so a parsed document would be
+    parsed again for each use. A one-row ``inline`` is not looked through.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def prepare_fields(events: DataFrame, paths: Iterable[str]) -> tuple[DataFrame, Resolver]:
+    """Events with every dynamic path extracted once, and a resolver that reads those columns.
+
+    Paths whose type the schema gives are left alone: reading them costs nothing.
+    """
+    extracted: dict[str, FieldValue] = {}
+    columns = []
+    for path in sorted(set(paths)):
+        value = resolve(events.schema, path)
+        if value.kind != MIXED:
+            continue
+        name = f"_field{len(extracted)}"
+        parts = ("present", "number", "text", "is_number")
+        columns.append(F.struct(*[getattr(value, p).alias(p) for p in parts]).alias(name))
+        extracted[path] = FieldValue(MIXED, *[F.col(f"{name}.{p}") for p in parts])
+    prepared = compute_once(events, *columns) if columns else events
+    return prepared, lambda path: extracted.get(path) or resolve(events.schema, path)

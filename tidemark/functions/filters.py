@@ -8,10 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.definitions import FieldFilter
-from tidemark.functions.fields import ABSENT, NUMBER, TEXT, resolve
+from tidemark.functions.fields import ABSENT, NUMBER, TEXT, Resolver
 
 _COMPARE = {
     "EQ": operator.eq,
@@ -39,11 +38,11 @@ def _literal_number(text: str) -> float | None:
     return float(number.group(1)) if number else None
 
 
-def compile_filter(flt: FieldFilter | None, schema: T.StructType) -> CompiledFilter:
+def compile_filter(flt: FieldFilter | None, field: Resolver) -> CompiledFilter:
     """No filter matches everything; a missing field matches nothing, also under ``NE``."""
     if flt is None:
         return CompiledFilter(F.lit(True), F.lit(False))
-    value = resolve(schema, flt.field)
+    value = field(flt.field)
     if flt.operator == "EXISTS":
         return CompiledFilter(value.present, F.lit(False))
     if value.kind == ABSENT:

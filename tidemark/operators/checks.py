@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.definitions import REQUEST_COMPLETED
-from tidemark.functions.fields import resolve
+from tidemark.functions.fields import Resolver, prepare_fields
 from tidemark.functions.windows import add_millis
+from tidemark.sources.events import WHOLE_NUMBER_FIELDS
 
 FUTURE_SKEW_MS = 5 * 60_000
 ALLOWED_LATENESS_MS = 10 * 60_000
@@ -35,14 +36,12 @@ def future_problem(now: Column, skew_ms: int = FUTURE_SKEW_MS) -> Column:
     return F.when(F.col("event_time") > add_millis(now, skew_ms), "future_event")
 
 
-def request_problem(events: DataFrame) -> Column:
+def request_problem(field: Resolver) -> Column:
     """What is wrong with a ``request.completed`` payload; null for other types.
 
     Numbers are judged after truncation, so ``-0.5`` counts as 0 and ``599.9`` as 599.
     """
-    count = resolve(events.schema, "count")
-    status = resolve(events.schema, "statusCode")
-    latency = resolve(events.schema, "latencyMs")
+    count, status, latency = (field(name) for name in WHOLE_NUMBER_FIELDS)
     problem = (
         F.when(~count.present, "count_missing")
         .when(~count.is_number, "count_not_numeric")
@@ -55,9 +54,17 @@ def request_problem(events: DataFrame) -> Column:
     return F.when(F.col("event_type") == REQUEST_COMPLETED, problem)
 
 
-def validation_problem(events: DataFrame, now: Column) -> Column:
-    """First failing check of an event, or null."""
-    return F.coalesce(envelope_problem(), future_problem(now), request_problem(events))
+def with_problem(events: DataFrame, now: Column) -> DataFrame:
+    """Events with ``problem``: the first failing check, or null.
+
+    A problem the source has set already is kept.
+    """
+    prepared, field = prepare_fields(events, WHOLE_NUMBER_FIELDS)
+    found = F.coalesce(envelope_problem(), future_problem(now), request_problem(field))
+    if "problem" in events.columns:
+        found = F.coalesce(F.col("problem"), found)
+    kept = [c for c in events.columns if c != "problem"]
+    return prepared.select(*kept, found.alias("problem"))
 
 
 def timing(

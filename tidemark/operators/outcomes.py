@@ -20,19 +20,16 @@ from tidemark.operators.checks import (
     TOO_LATE,
     ingestion_lag_ms,
     timing,
-    validation_problem,
+    with_problem,
 )
-from tidemark.plans.features import failure_reason, supported
+from tidemark.plans.features import with_failure
 
 
 def assess(events: DataFrame, allowed_ms: int = ALLOWED_LATENESS_MS) -> DataFrame:
     """Add ``problem`` (kept if the source already set one), ``timing`` and ``lag_ms``."""
-    found = validation_problem(events, F.col("arrival_time"))
-    if "problem" in events.columns:
-        found = F.coalesce(F.col("problem"), found)
     return (
-        events.withColumn("namespace", dedup.partition_namespace(F.col("namespace")))
-        .withColumn("problem", found)
+        with_problem(events, F.col("arrival_time"))
+        .withColumn("namespace", dedup.partition_namespace(F.col("namespace")))
         .withColumn(
             "timing",
             F.when(
@@ -65,9 +62,7 @@ def event_outcomes(
     fold_limit: int = dedup.FOLD_LIMIT,
 ) -> DataFrame:
     """The events with ``outcome``, ``reason``, ``timing``, ``lag_ms``, ``late_accepted``."""
-    checked = assess(events, allowed_ms).withColumn(
-        "failure", failure_reason(events, definitions)
-    )
+    checked = with_failure(assess(events, allowed_ms), definitions)
     on_time = F.col("problem").isNull() & (F.col("timing") != TOO_LATE)
     leaves_marker = checked.where(on_time & F.col("failure").isNull())
     taken = dedup.markers(leaves_marker, retention_ms, fold_limit)
@@ -77,7 +72,7 @@ def event_outcomes(
         .when(F.col("timing") == TOO_LATE, "late")
         .when(F.col("is_duplicate"), "duplicate")
         .when(F.col("failure").isNotNull(), "invalid")
-        .when(supported(events, definitions), "processed")
+        .when(F.col("supported"), "processed")
         .otherwise("ignored")
     )
     late_accepted = (

@@ -20,10 +20,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.definitions import ANY_ENTITY, FeatureDefinition
-from tidemark.functions.fields import resolve
+from tidemark.functions.fields import Resolver, prepare_fields
 from tidemark.functions.filters import compile_filter
 from tidemark.functions.keys import key_problem
 from tidemark.functions.windows import start_millis, window_expiry
@@ -53,6 +52,7 @@ class Group:
     window_type: str
     window: int | None
     slide: int | None
+    positions: tuple[int, ...]
     members: tuple[FeatureDefinition, ...]
 
     @property
@@ -72,19 +72,19 @@ def event_scope(definition: FeatureDefinition) -> Column:
     return F.coalesce(scope, F.lit(False))
 
 
-def contribution(definition: FeatureDefinition, schema: T.StructType) -> Contribution:
+def contribution(definition: FeatureDefinition, field: Resolver) -> Contribution:
     """The Columns one declaration needs from an event."""
     zero, one = F.lit(0.0), F.lit(1.0)
     none_text = F.lit(None).cast("string")
     scope = event_scope(definition)
-    declared = compile_filter(definition.filter, schema)
+    declared = compile_filter(definition.filter, field)
     matches = scope & declared.matches
     problem = F.when(scope & declared.unusable, F.lit("filter value is not a number"))
 
     if definition.aggregation == "COUNT":
         return Contribution(matches, one, zero, none_text, problem)
 
-    value = resolve(schema, definition.value_field)
+    value = field(definition.value_field)
     missing = F.when(matches & ~value.present, F.lit(f"missing {definition.value_field}"))
     if definition.aggregation == "DISTINCT_COUNT":
         return Contribution(matches, one, zero, value.text, F.coalesce(problem, missing))
@@ -99,7 +99,7 @@ def contribution(definition: FeatureDefinition, schema: T.StructType) -> Contrib
     if definition.aggregation == "AVG":
         if not definition.has_weight:
             return Contribution(matches, value.number, one, none_text, problem)
-        weight = resolve(schema, definition.weight_field)
+        weight = field(definition.weight_field)
         problem = F.coalesce(
             problem,
             F.when(matches & ~weight.present, F.lit(f"missing {definition.weight_field}")),
@@ -112,7 +112,7 @@ def contribution(definition: FeatureDefinition, schema: T.StructType) -> Contrib
             matches, value.number * weight.number, weight.number, none_text, problem
         )
 
-    numerator = compile_filter(definition.numerator_filter, schema)
+    numerator = compile_filter(definition.numerator_filter, field)
     problem = F.coalesce(
         problem,
         F.when(matches & numerator.unusable, F.lit("numerator filter value is not a number")),
@@ -121,21 +121,47 @@ def contribution(definition: FeatureDefinition, schema: T.StructType) -> Contrib
     return Contribution(matches, share, value.number, none_text, problem)
 
 
-def failure_reason(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> Column:
-    """First problem any matching active declaration has with the event; null if none."""
-    problems = [contribution(d, events.schema).problem for d in active_only(definitions)]
-    if not problems:
-        return F.lit(None).cast("string")
-    bad_key = key_problem(F.col("entity.type"), F.col("entity.id"))
-    return F.coalesce(F.when(supported(events, definitions), bad_key), *problems)
+def _paths(definitions: Sequence[FeatureDefinition]) -> list[str]:
+    found = []
+    for d in definitions:
+        found += [d.value_field, d.weight_field if d.has_weight else None]
+        found += [f.field for f in (d.filter, d.numerator_filter) if f]
+    return [path for path in found if path]
 
 
-def supported(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> Column:
-    """Whether any active declaration takes the event."""
-    hit = F.lit(False)
-    for d in active_only(definitions):
-        hit = hit | contribution(d, events.schema).matches
-    return hit
+def annotate(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:
+    """Events with what each active declaration makes of them.
+
+    Adds, for the i-th active declaration, ``_m{i}`` (does it take the event), ``_num{i}``,
+    ``_den{i}``, ``_dv{i}``; and ``supported`` (any takes it) and ``failure`` (the first
+    problem a taking declaration has with it, or null). Every value is computed once per event.
+    """
+    active = active_only(definitions)
+    prepared, field = prepare_fields(events, _paths(active))
+    columns, problems, supported = [], [], F.lit(False)
+    for i, d in enumerate(active):
+        part = contribution(d, field)
+        columns += [
+            part.matches.alias(f"_m{i}"),
+            part.num.alias(f"_num{i}"),
+            part.den.alias(f"_den{i}"),
+            part.distinct_value.alias(f"_dv{i}"),
+            part.problem.alias(f"_problem{i}"),
+        ]
+        supported = supported | F.col(f"_m{i}")
+        problems.append(F.col(f"_problem{i}"))
+    bad_key = F.when(supported, key_problem(F.col("entity.type"), F.col("entity.id")))
+    failure = F.coalesce(bad_key, *problems) if problems else F.lit(None).cast("string")
+    return (
+        prepared.select(*events.columns, *columns)
+        .withColumns({"supported": supported, "failure": failure})
+        .drop(*[f"_problem{i}" for i in range(len(active))])
+    )
+
+
+def with_failure(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:
+    """Events with ``supported`` and ``failure`` only."""
+    return annotate(events, definitions).select(*events.columns, "supported", "failure")
 
 
 def match_definitions(
@@ -144,18 +170,18 @@ def match_definitions(
     """One row per (event, matching declaration)."""
     names = [
         F.when(
-            contribution(d, events.schema).matches,
+            F.col(f"_m{i}"),
             F.struct(
                 F.lit(d.name).alias("feature_name"),
                 F.lit(d.version).alias("definition_version"),
             ),
         )
-        for d in active_only(definitions)
+        for i, d in enumerate(active_only(definitions))
     ]
-    wanted = _wanted_types(definitions)
+    wanted = events.where(F.col("event_type").isin(_wanted_types(definitions)))
     return (
-        events.where(F.col("event_type").isin(wanted))
-        .select("*", F.explode(F.array(*names)).alias("m"))
+        annotate(wanted, definitions)
+        .select(*events.columns, F.explode(F.array(*names)).alias("m"))
         .where(F.col("m").isNotNull())
         .select(*events.columns, "m.feature_name", "m.definition_version")
     )
@@ -170,58 +196,56 @@ def group_definitions(
     definitions: Sequence[FeatureDefinition], max_slots: int = MAX_SLOTS
 ) -> list[Group]:
     """Active declarations by shared event scope and window, at most ``max_slots`` each."""
-    buckets: dict[tuple, list[FeatureDefinition]] = {}
+    buckets: dict[tuple, list[int]] = {}
     groups: list[Group] = []
-    for d in active_only(definitions):
+    active = active_only(definitions)
+    for i, d in enumerate(active):
         scope = (d.event_type, d.entity_type, d.window_type, d.window, d.slide)
         if d.aggregation == "DISTINCT_COUNT":
-            groups.append(Group(*scope, (d,)))
+            groups.append(Group(*scope, (i,), (d,)))
         else:
-            buckets.setdefault(scope, []).append(d)
+            buckets.setdefault(scope, []).append(i)
     for scope, members in buckets.items():
         for start in range(0, len(members), max_slots):
-            groups.append(Group(*scope, tuple(members[start : start + max_slots])))
+            picked = tuple(members[start : start + max_slots])
+            groups.append(Group(*scope, picked, tuple(active[i] for i in picked)))
     return groups
 
 
-def _slot_hits(
-    group: Group, schema: T.StructType, written_at: Column, width: int
-) -> tuple[Column, list[Column]]:
-    """Whether the event feeds the group, and the per-slot values it adds."""
-    any_hit, values = F.lit(False), []
+def _slots(group: Group, width: int) -> list[Column]:
+    """Per slot the values an annotated event adds; null where the declaration passes."""
+    values = []
     for slot in range(width):
-        if slot >= len(group.members):
-            empty = F.lit(None)
-            values += [
-                empty.cast("bigint").alias(f"n{slot}"),
-                empty.cast("double").alias(f"num{slot}"),
-                empty.cast("double").alias(f"den{slot}"),
-                empty.cast("timestamp").alias(f"at{slot}"),
-            ]
-            continue
-        added = contribution(group.members[slot], schema)
-        any_hit = any_hit | added.matches
+        if slot < len(group.members):
+            i = group.positions[slot]
+            hit = F.col(f"_m{i}")
+            n, num, den = F.lit(1), F.col(f"_num{i}"), F.col(f"_den{i}")
+            at = F.col("arrival_time")
+        else:
+            hit, n, num, den, at = F.lit(False), *[F.lit(None)] * 4
         values += [
-            F.when(added.matches, F.lit(1).cast("bigint")).alias(f"n{slot}"),
-            F.when(added.matches, added.num).alias(f"num{slot}"),
-            F.when(added.matches, added.den).alias(f"den{slot}"),
-            F.when(added.matches, written_at).alias(f"at{slot}"),
+            F.when(hit, n.cast("bigint")).alias(f"n{slot}"),
+            F.when(hit, num.cast("double")).alias(f"num{slot}"),
+            F.when(hit, den.cast("double")).alias(f"den{slot}"),
+            F.when(hit, at.cast("timestamp")).alias(f"at{slot}"),
         ]
-    return any_hit, values
+    return values
 
 
 def explode_groups(
-    events: DataFrame,
+    annotated: DataFrame,
     groups: Sequence[Group],
     carry: Sequence[str] = (),
     with_starts: bool = True,
 ) -> DataFrame:
-    """One row per (event, group) with slot values; window starts stay an array."""
+    """One row per (annotated event, group) with slot values; window starts stay an array."""
     width = max(len(g.members) for g in groups)
     any_distinct = any(g.is_distinct for g in groups)
     rows = []
     for index, group in enumerate(groups):
-        hit, slots = _slot_hits(group, events.schema, F.col("arrival_time"), width)
+        hit = F.lit(False)
+        for i in group.positions:
+            hit = hit | F.col(f"_m{i}")
         fields = [F.lit(index).alias("group_id")]
         if with_starts:
             starts = start_millis(
@@ -229,12 +253,10 @@ def explode_groups(
             )
             fields.append(starts.alias("starts"))
         if any_distinct:
-            value = contribution(group.members[0], events.schema).distinct_value
-            fields.append(value.alias("distinct_value"))
-        rows.append(F.when(hit, F.struct(*fields, *slots)))
+            fields.append(F.col(f"_dv{group.positions[0]}").alias("distinct_value"))
+        rows.append(F.when(hit, F.struct(*fields, *_slots(group, width))))
     return (
-        events.where(F.col("event_type").isin(sorted({g.event_type for g in groups})))
-        .select(
+        annotated.select(
             F.col("entity.type").alias("entity_type"),
             F.col("entity.id").alias("entity_id"),
             *carry,
@@ -322,9 +344,11 @@ def partials(
     groups = group_definitions(definitions, max_slots)
     if not groups:
         raise ValueError("no active feature definition")
+    wanted = events.where(F.col("event_type").isin(_wanted_types(definitions)))
+    annotated = annotate(wanted, definitions)
     if not checked:
-        events = events.where(failure_reason(events, definitions).isNull())
-    exploded = explode_groups(events, groups)
+        annotated = annotated.where(F.col("failure").isNull())
+    exploded = explode_groups(annotated, groups)
     keys = [*ENTITY_KEYS, "group_id", "start_ms"]
     if "distinct_value" in exploded.columns:
         keys.append("distinct_value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.definitions import REQUEST_COMPLETED
-from tidemark.functions.fields import instant_text
+from tidemark.functions.fields import compute_once, instant_text
 from tidemark.functions.values import to_long
 
 # The payload numbers of request.completed that are whole by contract.
@@ -31,6 +31,10 @@ def _is_object(node: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(node), F.lit("OBJECT")), F.lit(False))
 
 
+def _other_than(name: str):
+    return lambda key, _: key != F.lit(name)
+
+
 def normalize_payload(event_type: Column, payload: Column) -> Column:
     """Truncate the contractually whole numbers of ``request.completed``; leave all else.
 
@@ -52,7 +56,7 @@ def normalize_payload(event_type: Column, payload: Column) -> Column:
         replaced = F.when(
             fractional,
             F.map_concat(
-                F.map_filter(replaced, lambda k, _, n=name: k != F.lit(n)),
+                F.map_filter(replaced, _other_than(name)),
                 F.create_map(F.lit(name), whole.cast("variant")),
             ),
         ).otherwise(replaced)
@@ -72,11 +76,11 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
 
     Never fails on bad input: such rows keep null event columns and say why.
     """
-    parsed = messages.withColumn("_doc", F.try_parse_json(F.col(value)))
+    parsed = compute_once(messages, F.try_parse_json(F.col(value)).alias("_doc"))
     doc = F.col("_doc")
     event_time_text = _string_at(doc, "$.eventTime")
-    fields = parsed.select(
-        *messages.columns,
+    fields = compute_once(
+        parsed,
         F.coalesce(_is_object(doc), F.lit(False)).alias("_is_doc"),
         _is_object(_node(doc, "$.entity")).alias("_has_entity"),
         F.when(_is_object(_node(doc, "$.payload")), _node(doc, "$.payload")).alias("_payload"),
