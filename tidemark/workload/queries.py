@@ -727,7 +727,7 @@ def read_batch(spark, sf_dir):
         _serving(spark, sf_dir),
         instant("2000-01-02 00:00:00"),
         registry=_registry(spark, sf_dir),
-    )
+    ).drop("value_text")
 
 
 def _stored_values(spark, sf_dir) -> DataFrame:
