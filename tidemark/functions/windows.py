@@ -55,5 +55,5 @@ def window_expiry(written_at: Column, size_ms: int, slide_ms: int) -> Column:
 
 def add_millis(ts: Column, millis: Column | int) -> Column:
     """``ts`` moved by whole milliseconds, microseconds kept."""
-    step = F.lit(millis) if isinstance(millis, int) else millis
+    step = (F.lit(millis) if isinstance(millis, int) else millis).cast("bigint")
     return F.timestamp_micros(F.unix_micros(ts) + step * F.lit(1000))
