@@ -18,7 +18,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from tidemark.session import prepare
+    from tidemark.session import RECOMMENDED, prepare
 
     session = (
         SparkSession.builder.master("local[8]")
@@ -26,6 +26,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(map=RECOMMENDED)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")

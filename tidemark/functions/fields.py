@@ -8,7 +8,7 @@ left in the plan; on a VARIANT payload the type is tested per row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +19,6 @@ TEXT = "text"
 MIXED = "mixed"
 ABSENT = "absent"
 
-_NUMERIC_VARIANT = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
-
-
 @dataclass(frozen=True)
 class FieldValue:
     """One resolved path. ``number`` is null unless the value is a number."""
@@ -31,6 +28,7 @@ class FieldValue:
     number: Column
     text: Column
     is_number: Column
+    node: Column | None = None
 
 
 def instant_text(ts: Column) -> Column:
@@ -73,13 +71,21 @@ def _typed_value(column: Column, data_type: T.DataType) -> FieldValue:
     return _text_value(column.cast("string"))
 
 
-def _variant_value(column: Column, segments: list[str]) -> FieldValue:
-    if not segments:
-        node = column
-    else:
-        node = F.try_variant_get(column, "$." + ".".join(segments), "variant")
-    present = node.isNotNull() & ~F.is_variant_null(node)
-    is_number = present & F.schema_of_variant(node).rlike(_NUMERIC_VARIANT)
+def is_number_type(variant_type: Column) -> Column:
+    """Whether the text of ``schema_of_variant`` names a number."""
+    return variant_type.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(
+        variant_type, F.lit("DECIMAL")
+    )
+
+
+def variant_node(document: Column, segments: list[str]) -> Column:
+    return F.try_variant_get(document, "$." + ".".join(segments), "variant")
+
+
+def _node_value(node: Column, variant_type: Column) -> FieldValue:
+    """A value from its variant node and that node's type text."""
+    present = F.coalesce(variant_type != "VOID", F.lit(False))
+    is_number = F.coalesce(is_number_type(variant_type), F.lit(False))
     return FieldValue(
         MIXED,
         present,
@@ -89,6 +95,12 @@ def _variant_value(column: Column, segments: list[str]) -> FieldValue:
     )
 
 
+def _variant_value(column: Column, segments: list[str]) -> FieldValue:
+    node = variant_node(column, segments) if segments else column
+    value = _node_value(node, F.schema_of_variant(node))
+    return replace(value, node=node)
+
+
 def resolve(schema: T.StructType, path: str) -> FieldValue:
     """The Columns of ``path`` for events of this ``schema``; null counts as absent."""
     envelope = {
@@ -141,14 +153,14 @@ def prepare_fields(events: DataFrame, paths: Iterable[str]) -> tuple[DataFrame,
     Paths whose type the schema gives are left alone: reading them costs nothing.
     """
     extracted: dict[str, FieldValue] = {}
-    columns = []
+    nodes, types = [], []
     for path in sorted(set(paths)):
         value = resolve(events.schema, path)
         if value.kind != MIXED:
             continue
-        name = f"_field{len(extracted)}"
-        parts = ("present", "number", "text", "is_number")
-        columns.append(F.struct(*[getattr(value, p).alias(p) for p in parts]).alias(name))
-        extracted[path] = FieldValue(MIXED, *[F.col(f"{name}.{p}") for p in parts])
-    prepared = compute_once(events, *columns) if columns else events
+        node, kind = f"_node{len(nodes)}", f"_type{len(nodes)}"
+        nodes.append(value.node.alias(node))
+        types.append(F.schema_of_variant(F.col(node)).alias(kind))
+        extracted[path] = _node_value(F.col(node), F.col(kind))
+    prepared = compute_once(compute_once(events, *nodes), *types) if nodes else events
     return prepared, lambda path: extracted.get(path) or resolve(events.schema, path)

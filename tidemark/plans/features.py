@@ -238,9 +238,13 @@ def explode_groups(
     carry: Sequence[str] = (),
     with_starts: bool = True,
 ) -> DataFrame:
-    """One row per (annotated event, group) with slot values; window starts stay an array."""
+    """One row per (annotated event, group, window) with slot values and ``start_ms``.
+
+    ``with_starts=False`` leaves the windows to the caller.
+    """
     width = max(len(g.members) for g in groups)
     any_distinct = any(g.is_distinct for g in groups)
+    any_sliding = any(g.window_type == "SLIDING" for g in groups)
     rows = []
     for index, group in enumerate(groups):
         hit = F.lit(False)
@@ -251,11 +255,12 @@ def explode_groups(
             starts = start_millis(
                 F.col("event_time"), group.window_type, group.window, group.slide
             )
-            fields.append(starts.alias("starts"))
+            # Without sliding windows there is one start each: nothing left to explode.
+            fields.append(starts.alias("starts") if any_sliding else starts[0].alias("start_ms"))
         if any_distinct:
             fields.append(F.col(f"_dv{group.positions[0]}").alias("distinct_value"))
         rows.append(F.when(hit, F.struct(*fields, *_slots(group, width))))
-    return (
+    exploded = (
         annotated.select(
             F.col("entity.type").alias("entity_type"),
             F.col("entity.id").alias("entity_id"),
@@ -265,6 +270,9 @@ def explode_groups(
         .where(F.col("g").isNotNull())
         .select(*ENTITY_KEYS, *carry, "g.*")
     )
+    if with_starts and any_sliding:
+        exploded = exploded.select("*", F.explode("starts").alias("start_ms")).drop("starts")
+    return exploded
 
 
 def slot_sums(width: int) -> list[Column]:
@@ -354,8 +362,7 @@ def partials(
         keys.append("distinct_value")
     width = max(len(g.members) for g in groups)
     grouped = (
-        exploded.select("*", F.explode("starts").alias("start_ms"))
-        .groupBy(*keys)
+        exploded.groupBy(*keys)
         .agg(*slot_sums(width))
         .withColumn("window_start", F.timestamp_millis("start_ms"))
     )

@@ -12,6 +12,10 @@ _REQUIRED = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# For session builders (static): recording a Python call site per Column call makes building a
+# large plan take seconds.
+RECOMMENDED = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the run-time settings every entry point needs and return the session."""

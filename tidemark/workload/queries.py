@@ -29,6 +29,7 @@ from tidemark.plans.features import (
     partials,
     with_failure,
 )
+from tidemark.session import prepare
 from tidemark.sources import history as history_source
 from tidemark.sources import registry as registry_source
 from tidemark.sources.events import decode_events, encode_events, normalize_payload
@@ -50,7 +51,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tidy(function(spark, sf_dir))
+        return tidy(function(prepare(spark), sf_dir))
 
     run.__name__, run.__doc__ = function.__name__, function.__doc__
     QUERIES[function.__name__] = run
