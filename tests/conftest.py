@@ -26,6 +26,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.maxMetadataStringLength", "4000")
         .config(map=RECOMMENDED)
         .getOrCreate()
     )

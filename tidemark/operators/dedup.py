@@ -16,6 +16,9 @@ Positions are (arrival millis, seq); ``seq`` is the message offset, unique in it
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ from tidemark.session import ensure_checkpoint_dir
 
 RETENTION_MS = 24 * 3_600_000
 FOLD_LIMIT = 10_000
-_ROUNDS_PER_CHECKPOINT = 8
+_FILES_PER_CELL = 32
+_ROUNDS_PER_UNION = 64
 
 KEY = ["namespace", "event_id"]
 
@@ -80,36 +84,51 @@ def _fold(long_lived: DataFrame, retention_ms: int) -> DataFrame:
 
 
 def _sweep(hot: DataFrame, retention_ms: int, cells: int) -> DataFrame:
+    """Cell by cell, the first arrival of each key that its newest marker does not cover.
+
+    The arrivals are written once, by cell, so a round reads its own cell only. What a round
+    leaves behind is one row per key; it is checkpointed, which also keeps the plans short.
+    """
     spark = hot.sparkSession
-    ensure_checkpoint_dir(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/arrivals-{uuid.uuid4()}"
     cell = F.floor((F.col("arrival_ms") - F.col("first_ms")) / F.lit(retention_ms))
-    hot = hot.withColumn("cell", cell).repartition("cell", *KEY, "arrival_ms").checkpoint()
-    markers = (
-        hot.where(F.col("cell") == 0)
-        .groupBy(*KEY)
-        .agg(
-            F.min("arrival_ms").alias("marker_ms"),
-            F.min_by("seq", "arrival_ms").alias("marker_seq"),
-        )
+    salt = F.pmod(F.hash("arrival_ms"), F.lit(_FILES_PER_CELL))
+    hot.withColumn("cell", cell).repartition("cell", salt).write.partitionBy("cell").parquet(
+        folder
     )
-    newest = markers.select(*KEY, F.col("marker_ms").alias("newest_ms"))
+    arrivals = spark.read.parquet(folder)
+
+    taken = [
+        F.min("arrival_ms").alias("marker_ms"),
+        F.min_by("seq", "arrival_ms").alias("marker_seq"),
+    ]
+    first = arrivals.where(F.col("cell") == 0).groupBy(*KEY).agg(*taken)
+    state = first.withColumn("newest_ms", F.col("marker_ms")).checkpoint()
+    rounds = [state]
     for number in range(1, cells):
+        newest = state.select(*KEY, "newest_ms")
         found = (
-            hot.where(F.col("cell") == number)
+            arrivals.where(F.col("cell") == number)
             .join(newest, KEY)
             .where(F.col("arrival_ms") >= F.col("newest_ms") + F.lit(retention_ms))
             .groupBy(*KEY)
-            .agg(
-                F.min("arrival_ms").alias("marker_ms"),
-                F.min_by("seq", "arrival_ms").alias("marker_seq"),
-            )
+            .agg(*taken)
         )
-        markers = markers.unionByName(found)
-        newest = markers.groupBy(*KEY).agg(F.max("marker_ms").alias("newest_ms"))
-        if number % _ROUNDS_PER_CHECKPOINT == 0:
-            markers = markers.checkpoint()
-            newest = markers.groupBy(*KEY).agg(F.max("marker_ms").alias("newest_ms"))
-    return markers
+        state = (
+            newest.join(found, KEY, "left")
+            .withColumn("newest_ms", F.coalesce("marker_ms", "newest_ms"))
+            .checkpoint()
+        )
+        rounds.append(state)
+        if len(rounds) == _ROUNDS_PER_UNION:
+            rounds = [_swept(rounds).checkpoint()]
+    return _swept(rounds)
+
+
+def _swept(rounds: list[DataFrame]) -> DataFrame:
+    columns = [*KEY, "marker_ms", "marker_seq"]
+    found = [r.where(F.col("marker_ms").isNotNull()).select(*columns) for r in rounds]
+    return reduce(DataFrame.unionByName, found)
 
 
 def markers(
