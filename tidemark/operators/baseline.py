@@ -98,32 +98,39 @@ def windows(history: DataFrame, feature: str) -> DataFrame:
 
 
 def all_windows(history: DataFrame) -> DataFrame:
-    """Every window of every feature and the totals, from one scan of the history."""
-    fine = five_minute_sums(history)
-    coarser = fine.withColumn("window_start", tumbling_start(F.col("window_start"), TEN_MINUTES))
-    ten = _roll_up(coarser, *ENTITY_KEYS, "window_start")
-    total = _roll_up(fine, *ENTITY_KEYS)
+    """Every window of every feature and the totals, from one scan of the history.
+
+    Each five-minute row feeds its own window, its ten-minute window and the total.
+    """
+    start = F.col("window_start")
+    levels = F.array(
+        F.struct(F.lit(0).alias("size_ms"), F.lit(None).cast("timestamp").alias("start")),
+        F.struct(F.lit(FIVE_MINUTES).alias("size_ms"), start.alias("start")),
+        F.struct(
+            F.lit(TEN_MINUTES).alias("size_ms"), tumbling_start(start, TEN_MINUTES).alias("start")
+        ),
+    )
+    fed = five_minute_sums(history).select(
+        *ENTITY_KEYS, F.inline(levels), *_SUMS, "updated_at"
+    )
+    sums = _roll_up(fed, *ENTITY_KEYS, "size_ms", "start")
+
+    def of(size_ms: int, feature: str) -> Column:
+        return F.when(
+            F.col("size_ms") == size_ms,
+            F.struct(F.lit(feature).alias("feature_name"), feature_value(feature).alias("value")),
+        )
+
+    features = F.array(of(0, TOTAL), *[of(size, name) for name, size in WINDOW_MS.items()])
     return (
-        total.select(*_feature_columns(TOTAL, F.lit(None).cast("timestamp")))
-        .unionByName(fine.select(*_feature_columns(LATENCY, F.col("window_start"))))
-        .unionByName(
-            ten.select(
-                *ENTITY_KEYS,
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(f).alias("feature_name"),
-                                F.col("window_start"),
-                                feature_value(f).alias("value"),
-                                F.col("updated_at"),
-                            )
-                            for f in (EVENT_COUNT, ERROR_RATE)
-                        ]
-                    )
-                ),
-            )
+        sums.select(
+            *ENTITY_KEYS,
+            F.col("start").alias("window_start"),
+            "updated_at",
+            F.explode(features).alias("f"),
         )
+        .where(F.col("f").isNotNull())
+        .select(*ENTITY_KEYS, "f.feature_name", "window_start", "f.value", "updated_at")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import LATENCY_PERCENTILES, nearest_rank
+from tidemark.functions.quantiles import LATENCY_PERCENTILES, ranks, value_counts
 from tidemark.functions.windows import add_millis
 
 EVENT_PUBLISH = "event_publish"
@@ -15,42 +15,58 @@ FEATURE_READ = "feature_read"
 
 
 def latency_summary(rows: DataFrame, *keys: str) -> DataFrame:
-    """Count, mean, extremes and nearest-rank percentiles of ``latency_ms`` per key."""
-    basics = rows.groupBy(*keys).agg(
-        F.count("latency_ms").alias("count"),
-        F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("avg_ms"),
-        F.coalesce(F.min("latency_ms"), F.lit(0)).alias("min_ms"),
-        F.coalesce(F.max("latency_ms"), F.lit(0)).alias("max_ms"),
-    )
-    ranks = nearest_rank(rows, keys, "latency_ms")
-    joined = basics.join(ranks, list(keys), "left") if keys else basics.join(
-        ranks, F.lit(True), "left"
+    """Count, mean, extremes and nearest-rank percentiles of ``latency_ms`` per key.
+
+    Keys whose operations all lack a latency have no row; without keys there is always one,
+    of zeros if need be.
+    """
+    counts = value_counts(rows, keys, "latency_ms")
+    zero = F.lit(0).cast("bigint")
+    seen = F.coalesce(F.sum("_c"), zero)
+    basics = counts.groupBy(*keys).agg(
+        seen.alias("count"),
+        F.coalesce(
+            F.try_divide(F.sum(F.col("_v") * F.col("_c")).cast("double"), seen), F.lit(0.0)
+        ).alias("avg_ms"),
+        F.coalesce(F.min("_v"), zero).alias("min_ms"),
+        F.coalesce(F.max("_v"), zero).alias("max_ms"),
     )
-    return joined.select(
+    return _beside(basics, ranks(counts, keys), keys).select(
         *keys,
         "count",
         "avg_ms",
         "min_ms",
-        *[F.coalesce(p, F.lit(0).cast("bigint")).alias(f"{p}_ms") for p in LATENCY_PERCENTILES],
+        *[F.coalesce(p, zero).alias(f"{p}_ms") for p in LATENCY_PERCENTILES],
         "max_ms",
     )
 
 
-def operation_summary(rows: DataFrame, *keys: str) -> DataFrame:
-    succeeded = F.count_if("success")
-    total = F.count(F.lit(1))
-    return rows.groupBy(*keys).agg(
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys of which any may be null; each side has a key at most once."""
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in keys})
+    return left.join(renamed, same, "left").drop(*[f"_right_{c}" for c in keys])
+
+
+def _operation_figures() -> list[Column]:
+    succeeded, total = F.count_if("success"), F.count(F.lit(1))
+    failed = total - succeeded
+    return [
         total.alias("total"),
         succeeded.alias("successes"),
-        (total - succeeded).alias("failures"),
-        F.coalesce(F.try_divide((total - succeeded).cast("double"), total), F.lit(0.0)).alias(
-            "error_rate"
-        ),
+        failed.alias("failures"),
+        F.coalesce(F.try_divide(failed.cast("double"), total), F.lit(0.0)).alias("error_rate"),
         F.count_if((F.col("status_code") < 200) | (F.col("status_code") >= 300)).alias(
             "http_non_2xx"
         ),
         F.count_if("timeout").alias("timeouts"),
-    )
+    ]
+
+
+def operation_summary(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*_operation_figures())
 
 
 def status_counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -110,16 +126,14 @@ def throughput(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def phase_summary(rows: DataFrame) -> DataFrame:
-    """Latency and operation figures per (phase, type) in one table."""
+    """Latency, operation and read-status figures per (phase, type) in one table."""
     keys = ["phase", "type"]
-    statuses = rows.groupBy(*keys).agg(
-        *[
-            F.count_if(F.col("feature_status") == s).alias(s.lower())
-            for s in ("PRESENT", "STALE", "MISSING", "UNAVAILABLE")
-        ]
-    )
-    latency = latency_summary(rows, *keys).drop("count")
-    return operation_summary(rows, *keys).join(latency, keys).join(statuses, keys)
+    statuses = [
+        F.count_if(F.col("feature_status") == s).alias(s.lower())
+        for s in ("PRESENT", "STALE", "MISSING", "UNAVAILABLE")
+    ]
+    operations = rows.groupBy(*keys).agg(*_operation_figures(), *statuses)
+    return _beside(operations, latency_summary(rows, *keys).drop("count"), keys)
 
 
 def availability(

@@ -9,48 +9,64 @@ TOLERANCE = 1e-6
 KEYS = ["entity_type", "entity_id", "feature_name", "window_start"]
 
 
+# What a read may report.
+STATUSES = ("PRESENT", "MISSING", "STALE", "UNAVAILABLE")
+
+
 def _side(rows: DataFrame, name: str) -> DataFrame:
     status = (
         F.col("status")
         if "status" in rows.columns
         else F.when(F.col("value").isNotNull(), "PRESENT").otherwise("MISSING")
     )
+    code = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status)
+    empty = {"realtime": "baseline", "baseline": "realtime"}[name]
     return rows.select(
-        *[F.col(c).alias(f"{name}_{c}") for c in KEYS],
+        *KEYS,
         F.col("value").alias(f"{name}_value"),
-        status.alias(f"{name}_status"),
+        code.alias(f"{name}_code"),
+        F.lit(None).cast("double").alias(f"{empty}_value"),
+        F.lit(None).cast("bigint").alias(f"{empty}_code"),
     )
 
 
 def compare(realtime: DataFrame, baseline: DataFrame) -> DataFrame:
     """One row per key on either side, with ``verdict``.
 
-    Both sides are unique per key, so the join is one to one.
+    Each side has a key at most once, so pairing them is a hash aggregate over the union: no
+    sort, and null window starts pair like any other.
     """
-    left, right = _side(realtime, "realtime"), _side(baseline, "baseline")
-    on = F.lit(True)
-    for c in KEYS:
-        on = on & F.col(f"realtime_{c}").eqNullSafe(F.col(f"baseline_{c}"))
-    joined = left.join(right, on, "full")
+    sides = ("realtime", "baseline")
+    paired = (
+        _side(realtime, "realtime")
+        .unionByName(_side(baseline, "baseline"))
+        .groupBy(*KEYS)
+        .agg(*[F.max(f"{s}_{what}").alias(f"{s}_{what}") for s in sides for what in ("value", "code")])
+    )
+    names = F.array(*[F.lit(s) for s in STATUSES])
+    present = F.lit(STATUSES.index("PRESENT") + 1)
 
     def usable(side: str) -> Column:
         return F.coalesce(
-            (F.col(f"{side}_status") == "PRESENT") & F.col(f"{side}_value").isNotNull(),
+            (F.col(f"{side}_code") == present) & F.col(f"{side}_value").isNotNull(),
             F.lit(False),
         )
 
+    def status(side: str) -> Column:
+        known = F.try_element_at(names, F.col(f"{side}_code").cast("int"))
+        return F.when(F.col(f"{side}_code").isNull(), "MISSING").otherwise(known)
+
     close = F.abs(F.col("realtime_value") - F.col("baseline_value")) <= F.lit(TOLERANCE)
     verdict = (
         F.when(~usable("baseline") | ~usable("realtime"), "unavailable")
         .when(close, "match")
         .otherwise("mismatch")
     )
-    return joined.select(
-        *[F.coalesce(f"realtime_{c}", f"baseline_{c}").alias(c) for c in KEYS],
+    return paired.select(
+        *KEYS,
         "realtime_value",
         "baseline_value",
-        F.coalesce("realtime_status", F.lit("MISSING")).alias("realtime_status"),
-        F.coalesce("baseline_status", F.lit("MISSING")).alias("baseline_status"),
+        *[status(s).alias(f"{s}_status") for s in sides],
         verdict.alias("verdict"),
     )
 

@@ -56,24 +56,32 @@ def serving_rows(
     features: DataFrame, definitions: Sequence[FeatureDefinition]
 ) -> DataFrame:
     """Feature rows -> serving table: windows that expire, plus latest rows that do not."""
-    features = current_versions(features, definitions)
-    text = value_text(_integral(definitions), F.col("value")).alias("value_text")
-    windows = features.where(F.col("window_start").isNotNull()).select(
-        *READ_KEYS, "window_start", text, "updated_at", "definition_version", "expires_at"
+    # Every row stands for itself and competes to be the latest: one pass, one shuffle of the
+    # (already aggregated) feature rows.
+    nothing = F.lit(None).cast("timestamp")
+    order = F.coalesce(F.unix_millis("window_start"), F.lit(-(2**62)))
+    itself = F.when(
+        F.col("window_start").isNotNull(),
+        F.struct(F.col("window_start").alias("slot"), F.col("expires_at").alias("expiry")),
     )
-    latest = latest_rows(
-        features.select(
-            *READ_KEYS, "window_start", "value", "updated_at", "definition_version"
+    latest = F.struct(nothing.alias("slot"), nothing.alias("expiry"))
+    picked = ("value", "updated_at", "definition_version", "expiry")
+    return (
+        current_versions(features, definitions)
+        .select("*", F.explode(F.array(itself, latest)).alias("stand"))
+        .where(F.col("stand").isNotNull())
+        .select(*READ_KEYS, "stand.*", order.alias("rank"), *picked[:3])
+        .groupBy(*READ_KEYS, "slot")
+        .agg(*[F.max_by(c, "rank").alias(c) for c in picked])
+        .select(
+            *READ_KEYS,
+            F.col("slot").alias("window_start"),
+            value_text(_integral(definitions), F.col("value")).alias("value_text"),
+            "updated_at",
+            "definition_version",
+            F.col("expiry").alias("expires_at"),
         )
-    ).select(
-        *READ_KEYS,
-        F.lit(None).cast("timestamp").alias("window_start"),
-        text,
-        "updated_at",
-        "definition_version",
-        F.lit(None).cast("timestamp").alias("expires_at"),
     )
-    return windows.unionByName(latest)
 
 
 def with_key(serving: DataFrame) -> DataFrame:
