@@ -6,10 +6,13 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Windows and text forms of instants are UTC; repeated JSON keys keep the last value.
+# Windows and text forms of instants are UTC; repeated JSON keys keep the last value. Many
+# declarations make long generated methods: beyond 8000 bytecodes HotSpot would only interpret
+# them, so such a stage is better run operator by operator.
 _REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # For session builders (static): recording a Python call site per Column call makes building a
