@@ -112,3 +112,43 @@ def hex_sha(column: Column) -> Column:
 
 
 DISK = StorageLevel.DISK_ONLY
+
+
+def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Tables of whole groups (runs of equal keys in sorted batches), about ``rows`` rows each."""
+    held: list[pa.RecordBatch] = []
+
+    def last_start(table: pa.Table) -> int:
+        """Where the last group of the table begins."""
+        low, high = 0, table.num_rows - 1
+        final = [table[k][high].as_py() for k in keys]
+        while low < high:
+            middle = (low + high) // 2
+            if [table[k][middle].as_py() for k in keys] == final:
+                high = middle
+            else:
+                low = middle + 1
+        return low
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            whole = pa.Table.from_batches(held)
+            cut = last_start(whole)
+            if cut:
+                yield whole.slice(0, cut)
+                held = whole.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(*keys):
+    """Start index of each run of equal keys (numpy arrays), and the number of rows behind."""
+    import numpy as np
+
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.append(np.flatnonzero(new), n)
