@@ -5,8 +5,8 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from tidemark.workload.oracles import ORACLES
+from tidemark.workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +14,11 @@ def duck():
     return oracle.connect(SMALL)
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
