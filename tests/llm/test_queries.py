@@ -1,0 +1,48 @@
+"""Corpus queries against their SQL on the smallest tables, and the pipeline stage by stage."""
+
+import corpus_pipeline
+import duckdb
+import oracle
+import pytest
+from conftest import SMALL
+
+from tidemark.llm import jaccard_join
+from tidemark.llm.queries import ORACLES, QUERIES
+
+TABLES = "documents pages benchmark labels".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, duck, name):
+    columns, rows = oracle.spark_rows(QUERIES[name](spark, SMALL))
+    want_columns, want_rows, _ = oracle.sql_rows(duck, ORACLES[name])
+    assert (columns, rows) == (want_columns, want_rows)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_whole_table(spark, name):
+    source = "pages" if "html" in name else "documents"
+    assert QUERIES[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{source}.parquet").count()
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SMALL)
+        if number == len(corpus_pipeline.STAGES) - 1:
+            rows = out.collect()
+            assert len(rows) == docs.count() and all(r["round_trip"] for r in rows)
+            break
+        assert out.columns == docs.columns
+        if "Jaccard" in name:
+            want = jaccard_join.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()])
+            assert {r["doc_id"] for r in out.collect()} == {k for k, (c, _) in want.items() if c == k}
+        docs = corpus_pipeline.written(out, "stage")

@@ -4,12 +4,13 @@ A window is ``length`` consecutive units (words or bytes) of one document. Its a
 smallest hash of the grams inside it, so equal windows have equal anchors wherever they occur. Each
 document is cut into segments, runs of windows with one anchor. Then
 
-1. anchors that can hold no repeat are found by a fixed-width aggregate and dropped, which leaves
+1. later copies of a whole text are set aside: all their windows occur earlier;
+2. anchors that can hold no repeat are found by a fixed-width aggregate and dropped, which leaves
    few segments of ordinary text;
-2. equal segments are reduced to one, with their earliest occurrence, before anything is indexed;
-3. segments go to shards by anchor, and a shard's index tells for each window of each segment which
+3. equal segments are reduced to one, with their earliest occurrence, before anything is indexed;
+4. segments go to shards by anchor, and a shard's index tells for each window of each segment which
    occurrence in the corpus is the earliest;
-4. that is joined back to all occurrences, and what has an earlier occurrence is marked.
+5. that is joined back to all occurrences, and what has an earlier occurrence is marked.
 
 An anchor with more than ``hot`` occurrences is cut into single windows with keys of their own, so
 that no shard grows with the corpus.
@@ -33,6 +34,9 @@ from tidemark.llm.common import complete_groups, pieces, small, written
 HOT = 20_000
 # Anchors up to which the table of those that repeat may be broadcast (8 bytes each).
 ANCHORS = 4_000_000
+# Later copies of whole texts up to which their table (16 bytes a row) may be broadcast, and spans
+# up to which the table of spans may be.
+COPIES, SPANS = 1_000_000, 2_000_000
 # Segments in one shard, unless one anchor has more.
 SHARD = 1 << 13
 
@@ -173,6 +177,7 @@ def repeated_spans(
     units: Units,
     shard: Callable[..., list],
     window: Callable[[bytes, int], list[bytes]],
+    seen: dict[str, Column],
     repeats: Column,
     earlier: Column,
     key: str = "doc_id",
@@ -182,19 +187,36 @@ def repeated_spans(
     """(k1, k2, spans): the windows of each document that occur earlier, as ranges of units.
 
     ``shard`` gets the segments of a shard (anchor, body, windows, e1, e2, at as arrays) and gives
-    the runs of each. ``repeats`` says which anchors can hold a repeat, ``earlier`` whether the
+    the runs of each. ``seen`` are aggregates over the rows (k1, many) of an anchor, and ``repeats``
+    says by them and the count ``n`` which anchors can hold a repeat; ``earlier`` whether the
     occurrence (e1, e2, at) of a window comes before the one at (k1, k2, start + first).
     """
     rows = keyed(docs, key, text)
+    first = rows.groupBy("k2", F.xxhash64(F.lit(1), "text").alias("k3")).agg(
+        F.min("k1").alias("low"), F.max("k1").alias("high")
+    )
+    twice = small(written(first.where("low < high").select("k2", "k3", "low"), "copied"), COPIES)
+    copies = (
+        rows.withColumn("k3", F.xxhash64(F.lit(1), "text"))
+        .join(twice, ["k2", "k3"])
+        .where("k1 > low")
+        .select("k1", "k2")
+        .distinct()
+    )
+    copies = written(copies, "copies")
+    rows = rows.join(small(copies, COPIES), ["k1", "k2"], "left_anti")
+
     found = (
         anchor_rows(rows, units, bodies=False)
         .groupBy("anchor")
-        .agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min("k1").alias("low"), F.max("k1").alias("high"))
+        .agg(F.count("*").alias("n"), *(x.alias(c) for c, x in seen.items()))
         .where(repeats)
         .select("anchor", (F.col("n") > hot).alias("hot"))
     )
-    found = small(written(found, "anchors"), ANCHORS)
-    segments = split_hot(anchor_rows(rows, units, bodies=True).join(found, "anchor"), units, window)
+    found = written(found, "anchors")
+    segments = anchor_rows(rows, units, bodies=True).join(small(found, ANCHORS), "anchor")
+    if found.where("hot").limit(1).count():
+        segments = split_hot(segments, units, window)
     segments = written(segments.withColumn("bhash", F.xxhash64("body")), "segments")
 
     distinct = (
@@ -220,40 +242,50 @@ def repeated_spans(
         .sortWithinPartitions("anchor")
         .mapInArrow(run, f"anchor long, bhash long, windows int, runs {RUNS}")
     )
-    return (
+    inside = (
         segments.select("anchor", "bhash", "windows", "k1", "k2", "start")
         .join(written(results, "results"), ["anchor", "bhash", "windows"])
         .select("k1", "k2", "start", F.explode("runs").alias("run"))
         .select("k1", "k2", "start", "run.*")
         .where(earlier)
-        .groupBy("k1", "k2")
-        .agg(
-            F.collect_set(
-                F.struct(
-                    (F.col("start") + F.col("first")).alias("begin"),
-                    (F.col("start") + F.col("last") + units.length).alias("end"),
-                )
-            ).alias("spans")
+        .select(
+            "k1", "k2",
+            (F.col("start") + F.col("first")).alias("begin"),
+            (F.col("start") + F.col("last") + units.length).alias("end"),
         )
+    )
+    # A copy is covered whole, if it has a window; its length is not known here.
+    whole = copies.select("k1", "k2", F.lit(0).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end"))
+    return (
+        inside.unionAll(whole)
+        .groupBy("k1", "k2")
+        .agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     )
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """``docs`` with its spans in column ``name`` (null where it has none)."""
     k1, k2 = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
+    spans = written(spans, "spans")
+    size = spans.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0]
     right = spans.select(F.col("k1").alias(f"{name}_1"), F.col("k2").alias(f"{name}_2"), F.col("spans").alias(name))
+    right = F.broadcast(right) if size <= SPANS else right
     return docs.join(right, (k1 == F.col(f"{name}_1")) & (k2 == F.col(f"{name}_2")), "left").drop(
         f"{name}_1", f"{name}_2"
     )
 
 
-def covered(spans: pa.Scalar, size: int) -> np.ndarray:
-    """Which units lie in one of the spans."""
+def covered(spans: pa.Scalar, size: int, length: int) -> np.ndarray:
+    """Which of ``size`` units lie in one of the spans; an end of -1 stands for all, if there are
+    ``length`` units or more."""
     edge = np.zeros(size + 1, np.int64)
     if spans.is_valid and len(spans.values):
-        ranges = spans.values
-        np.add.at(edge, ranges.field("begin").to_numpy(), 1)
-        np.add.at(edge, ranges.field("end").to_numpy(), -1)
+        begin, end = (spans.values.field(c).to_numpy() for c in ("begin", "end"))
+        whole = end < 0
+        np.add.at(edge, begin[~whole], 1)
+        np.add.at(edge, end[~whole], -1)
+        if whole.any() and size >= length:
+            edge[0] += 1
     return np.cumsum(edge)[:-1] > 0
 
 

@@ -100,7 +100,7 @@ def substring_dedup(
     before = F.expr("e1 < k1 or (e1 = k1 and (e2 < k2 or (e2 = k2 and at < start + first)))")
     spans = anchored.repeated_spans(
         docs, word_units(window, gram), index_shard(window), single_windows(window),
-        repeats=F.expr("n > 1 or many"), earlier=before, key=key, text=text, hot=hot,
+        seen={"many": F.max("many")}, repeats=F.expr("n > 1 or many"), earlier=before, key=key, text=text, hot=hot,
     )
     (name,) = fresh(docs, "spans")
 
@@ -108,7 +108,7 @@ def substring_dedup(
         sizes, removed, kept = [], [], []
         for value, ranges in zip(*columns):
             words = words_of(value.as_py())
-            mask = anchored.covered(ranges, len(words))
+            mask = anchored.covered(ranges, len(words), window)
             sizes.append(len(words))
             removed.append(int(mask.sum()))
             left = [w for w, gone in zip(words, mask.tolist()) if not gone] if removed[-1] else words

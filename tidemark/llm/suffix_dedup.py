@@ -25,7 +25,7 @@ from tidemark.llm import anchored
 from tidemark.llm.common import fresh, hex_sha, table, with_rows
 from tidemark.llm.shingles import mix
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 20
 
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -40,8 +40,9 @@ class Powers:
     def upto(self, n: int) -> Powers:
         if len(self.up) < n:
             size = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([[1], np.full(size, _BASE, np.uint64)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[1], np.full(size, _INVERSE, np.uint64)]), dtype=np.uint64)
+            self.up, self.down = np.ones(size + 1, np.uint64), np.ones(size + 1, np.uint64)
+            np.cumprod(np.full(size, _BASE, np.uint64), out=self.up[1:])
+            np.cumprod(np.full(size, _INVERSE, np.uint64), out=self.down[1:])
         return self
 
 
@@ -67,8 +68,7 @@ def byte_units(window: int, gram: int) -> anchored.Units:
         grams = np.zeros(0, np.uint64)
         if len(body) >= window:
             prefix = prefix_hashes(np.frombuffer(body, np.uint8))
-            n = len(body) - gram + 1
-            grams = mix((prefix[gram:] - prefix[:-gram]) * POWERS.down[:n])
+            grams = mix(hashes_of(prefix, np.arange(len(body) - gram + 1), gram))
         return grams, lambda a, b: body[a:b]
 
     return anchored.Units(window, gram, cut)
@@ -180,7 +180,7 @@ def suffix_dedup(
     """``docs`` with ``n_bytes``, ``removed_spans`` (byte ranges) and ``kept_bytes``."""
     spans = anchored.repeated_spans(
         docs, byte_units(window, gram), sort_shard(window), single_windows(window),
-        repeats=F.expr("low < high"), earlier=F.expr("e1 < k1"), key=key, text=text, hot=hot,
+        seen={"low": F.min("k1"), "high": F.max("k1")}, repeats=F.expr("low < high"), earlier=F.expr("e1 < k1"), key=key, text=text, hot=hot,
     )
     (name,) = fresh(docs, "spans")
 
@@ -188,7 +188,7 @@ def suffix_dedup(
         sizes, removed, kept = [], [], []
         for value, ranges in zip(*columns):
             body = (value.as_py() or "").encode("utf-8", "surrogatepass")
-            gone = anchored.runs_in(anchored.covered(ranges, len(body)))
+            gone = anchored.runs_in(anchored.covered(ranges, len(body), window))
             sizes.append(len(body))
             removed.append([{"start": a, "end": b} for a, b in gone])
             edges = [0, *(x for span in gone for x in span), len(body)]
