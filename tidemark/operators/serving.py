@@ -150,11 +150,19 @@ def ttl_seconds(expires_at: Column, now: Column) -> Column:
 def _with_active_version(lookups: DataFrame, registry: DataFrame | None) -> DataFrame:
     if registry is None:
         return lookups.withColumn("active_version", F.lit(None).cast("int"))
-    in_scope = (F.col("scope") == F.col("entity_type")) | (F.col("scope") == ANY_ENTITY)
+    # One row per name, whatever the registry holds: the lowest active version of each scope.
+    by_scope = (
+        active_versions(registry)
+        .groupBy("feature_name", "scope")
+        .agg(F.min("active_version").alias("version"))
+        .groupBy("feature_name")
+        .agg(F.map_from_entries(F.collect_list(F.struct("scope", "version"))).alias("by_scope"))
+    )
+    version = F.least(F.col("by_scope")[F.col("entity_type")], F.col("by_scope")[ANY_ENTITY])
     return (
-        lookups.join(active_versions(registry), "feature_name", "left")
-        .withColumn("active_version", F.when(in_scope, F.col("active_version")))
-        .drop("scope")
+        lookups.join(by_scope, "feature_name", "left")
+        .withColumn("active_version", version)
+        .drop("by_scope")
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.definitions import ANY_ENTITY, FeatureDefinition
-from tidemark.functions.fields import Resolver, prepare_fields
+from tidemark.functions.fields import Resolver, compute_once, prepare_fields
 from tidemark.functions.filters import compile_filter
 from tidemark.functions.keys import key_problem
 from tidemark.functions.windows import start_millis, window_expiry
@@ -150,13 +150,17 @@ def annotate(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> Dat
         ]
         supported = supported | F.col(f"_m{i}")
         problems.append(F.col(f"_problem{i}"))
+    if not active:
+        return events.withColumns({"supported": supported, "failure": F.lit(None).cast("string")})
+    # Behind a barrier: later filters and explodes read plain columns. Otherwise every use of a
+    # declaration's match copies its conditions, and the plan grows with each copy.
+    made = compute_once(prepared, *columns)
     bad_key = F.when(supported, key_problem(F.col("entity.type"), F.col("entity.id")))
-    failure = F.coalesce(bad_key, *problems) if problems else F.lit(None).cast("string")
-    return (
-        prepared.select(*events.columns, *columns)
-        .withColumns({"supported": supported, "failure": failure})
-        .drop(*[f"_problem{i}" for i in range(len(active))])
+    verdict = compute_once(
+        made, supported.alias("supported"), F.coalesce(bad_key, *problems).alias("failure")
     )
+    kept = [f"{what}{i}" for i in range(len(active)) for what in ("_m", "_num", "_den", "_dv")]
+    return verdict.select(*events.columns, *kept, "supported", "failure")
 
 
 def with_failure(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Windows and text forms of instants are UTC; repeated JSON keys keep the last value.
@@ -28,8 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local session may fall back to a folder of its own. On a cluster an unset folder is an
-    error: a machine-local one would be lost with its machine.
+    Where it is unset a folder in the warehouse is taken, which a cluster shares as well.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -37,8 +34,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     context.setCheckpointDir(folder)
     return folder

@@ -24,9 +24,6 @@ from tidemark.definitions import (
 
 IDENTITY = ["name", "version"]
 
-# A plan is compiled from the active declarations, so their number must stay small.
-MAX_COMPILED = 2_000
-
 
 def registry_table(
     spark: SparkSession, definitions: Sequence[FeatureDefinition] = BUILT_IN_FEATURES
@@ -40,13 +37,10 @@ def seed(registry: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataF
     return registry.unionByName(seeds.join(registry.select(*IDENTITY), IDENTITY, "left_anti"))
 
 
-def load_active(registry: DataFrame, limit: int = MAX_COMPILED) -> list[FeatureDefinition]:
-    """Active declarations on the driver, in (name, version) order; refuses an oversized set."""
-    rows = registry.where(F.col("state") == "ACTIVE").orderBy(*IDENTITY).limit(limit + 1)
-    found = [FeatureDefinition.from_row(row.asDict()) for row in rows.collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} active feature definitions")
-    return found
+def load_active(registry: DataFrame) -> list[FeatureDefinition]:
+    """Active declarations on the driver, in (name, version) order."""
+    rows = registry.where(F.col("state") == "ACTIVE").orderBy(*IDENTITY)
+    return [FeatureDefinition.from_row(row.asDict()) for row in rows.collect()]
 
 
 def list_definitions(registry: DataFrame) -> DataFrame:
@@ -169,12 +163,19 @@ def duration_millis(text: Column) -> Column:
     that it is positive.
     """
     upper = F.upper(F.trim(text))
-    iso = r"^([-+]?)P(?:([-+]?\d+)D)?(?:T(?:([-+]?\d+)H)?(?:([-+]?\d+)M)?(?:([-+]?\d+)(?:\.\d+)?S)?)?$"
+    iso = (
+        r"^([-+]?)P(?:([-+]?\d+)D)?"
+        r"(?:T(?!$)(?:([-+]?\d+)H)?(?:([-+]?\d+)M)?(?:([-+]?\d+)(?:[.,](\d{1,9}))?S)?)?$"
+    )
     scale = (86_400_000, 3_600_000, 60_000, 1_000)
     total = F.lit(0).cast("bigint")
     for group, unit in enumerate(scale, start=2):
         part = F.regexp_extract(upper, iso, group).try_cast("bigint")
         total = total + F.coalesce(part, F.lit(0)) * F.lit(unit)
+    # Whole milliseconds of the fraction, with the sign of the seconds.
+    fraction = F.substring(F.rpad(F.regexp_extract(upper, iso, 6), 9, "0"), 1, 3).try_cast("bigint")
+    backwards = F.regexp_extract(upper, iso, 5).startswith("-")
+    total = total + F.coalesce(F.when(backwards, -fraction).otherwise(fraction), F.lit(0))
     sign = F.when(F.regexp_extract(upper, iso, 1) == "-", -1).otherwise(1)
     compact = r"^([1-9]\d*)(MS|S|M|H|D)$"
     amount = F.regexp_extract(upper, compact, 1).try_cast("bigint")
@@ -217,6 +218,7 @@ def invalid(registry: DataFrame) -> DataFrame:
     unwindowed = F.col("window_type") == "NONE"
     reason = F.coalesce(
         F.when(blank("name"), "blank_name"),
+        F.when(F.col("name").contains(":"), "bad_name"),
         F.when(blank("event_type"), "blank_event_type"),
         F.when(blank("entity_type"), "blank_entity_type"),
         F.when(outside("aggregation_type", AGGREGATIONS), "unknown_aggregation"),

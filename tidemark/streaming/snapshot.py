@@ -1,7 +1,7 @@
 """The declarations a run works with.
 
 A running query has its declarations compiled in, so a run reads the registry when it starts
-and restarts pick up changes. The last good set is kept for when the registry is unreadable.
+and restarts pick up changes. The last good set is kept for when the registry is unusable.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ def load_definitions(
     """Active declarations of the registry table, else of the saved snapshot, else an error."""
     try:
         found = load_active(spark.read.schema(schemas.REGISTRY).parquet(registry_path))
-    except PySparkException as error:
+    except (PySparkException, ValueError) as error:
+        # Unreadable, or with a row that is no declaration.
         try:
             saved = load_active(spark.read.schema(schemas.REGISTRY).parquet(snapshot_path))
-        except PySparkException:
+        except (PySparkException, ValueError):
             raise error from None
-        _LOG.warning("registry unreadable, using the last snapshot: %s", error)
+        _LOG.warning("registry unusable, using the last snapshot: %s", error)
         return saved
     registry_table(spark, found).coalesce(1).write.mode("overwrite").parquet(snapshot_path)
     return found
