@@ -25,6 +25,22 @@ def local_labels(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
+class Joined:
+    """Components of numbered nodes under links that come in parts; between parts a label a node is kept."""
+
+    def __init__(self, count: int) -> None:
+        self.label = np.arange(count)
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        moved = self.moved()
+        left, right = np.append(left, moved), np.append(right, self.label[moved])
+        self.label = local_labels(len(self.label), left, right)
+
+    def moved(self) -> np.ndarray:
+        """Nodes that are not the smallest of their component."""
+        return np.flatnonzero(self.label != np.arange(len(self.label)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b: long); the label is the smallest node.
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import complete_groups, fresh, group_bounds, small, table, with_rows, written
-from tidemark.llm.components import components, local_labels
+from tidemark.llm.components import Joined, components
 from tidemark.llm.shingles import mix, shingles, word_hashes, words_of
 
 WORDS, THRESHOLD = 5, 0.8
@@ -146,19 +146,17 @@ def bucket_edges(buckets: DataFrame, block: int) -> DataFrame:
             left, right, part = (rows[c].to_numpy() for c in ("left", "right", "part"))
             bounds = group_bounds(rows["path"].to_numpy(), left, right)
             sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(sid), SKETCH)
-            ends: list[tuple[np.ndarray, np.ndarray]] = []
+            joined = Joined(len(sid))
             for i, j in pairs_within(bounds, part, left, right):
+                alike = np.zeros(len(i), bool)
                 for at in range(0, len(i), 1 << 17):
                     x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-                    alike = (sketch[x] == sketch[y]).sum(axis=1) >= ALIKE * SKETCH
-                    ends.append((x[alike], y[alike]))
-            if ends:
-                x, y = (np.concatenate(e) for e in zip(*ends))
-                label = local_labels(len(sid), x, y)
-                moved = np.flatnonzero(label != np.arange(len(sid)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[label[moved]]), pa.array(sid[moved])], names=["a", "b"]
-                )
+                    alike[at : at + (1 << 17)] = (sketch[x] == sketch[y]).sum(axis=1) >= ALIKE * SKETCH
+                joined.link(i[alike], j[alike])
+            moved = joined.moved()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sid[joined.label[moved]]), pa.array(sid[moved])], names=["a", "b"]
+            )
 
     return (
         blocked(buckets, "path", "sid", block)
@@ -170,7 +168,20 @@ def bucket_edges(buckets: DataFrame, block: int) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets numbered ``rows`` with those numbered ``columns``."""
+    """Sizes of the intersections of the sets numbered ``rows`` with those numbered ``columns``.
+
+    Sets are sorted hashes; ranges of about two million of them are counted at a time.
+    """
+    ranges = 1 + (sum(map(len, sets)) >> 21)
+    edges = np.array([2**64 * k // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]).astype(np.int64) for s in sets]
+    count = np.zeros((len(rows), len(columns)), np.float32)
+    for k in range(ranges):
+        count += range_overlaps([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)], rows, columns)
+    return count
+
+
+def range_overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     sizes = np.array([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -202,7 +213,7 @@ def exact_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
             left, right, part = (rows[c].to_numpy() for c in ("left", "right", "part"))
             sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
             texts, docs = np.zeros(len(sid), np.int64), np.zeros(len(sid), np.int64)
-            ends: list[tuple[np.ndarray, np.ndarray]] = []
+            joined = Joined(len(sid))
             bounds = group_bounds(rows["cluster"].to_numpy(), left, right)
             for start, end in zip(bounds[:-1], bounds[1:]):
                 own = np.arange(start, end)
@@ -222,10 +233,10 @@ def exact_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
                 texts[a] += linked.sum(axis=1)
                 docs[a] += linked @ weight[b]
                 i, j = np.nonzero(linked)
-                ends.append((a[i], b[j]))
-            x, y = (np.concatenate(e) for e in zip(*ends)) if ends else (np.zeros(0, int), np.zeros(0, int))
+                if len(i):
+                    joined.link(a[i], b[j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sid), pa.array(texts), pa.array(docs), pa.array(sid[local_labels(len(sid), x, y)])],
+                [pa.array(sid), pa.array(texts), pa.array(docs), pa.array(sid[joined.label])],
                 names=["sid", "texts", "docs", "label"],
             )
 
