@@ -52,7 +52,7 @@ _OTHER = rf"(?:[^\s\p{{L}}\p{{N}}]|[{UNASSIGNED}])"
 LATE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?{_OTHER}+|\s+(?!\S)|\s+"
 
 # Pre-tokens, and runs between spaces, whose ids a task remembers; the memory starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def default_tokenizer() -> str:
@@ -130,16 +130,11 @@ class Vocabulary:
         self.size = [len(t) for t in self.tokens]
         self.pairs: dict[tuple[int, int], bool] = {}
 
-        by_id = dict(zip(self.ids, self.tokens))
-        by_id |= {i: t.encode() for t, i in self.special.items()}
-        self.blob = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(max(by_id) + 1)), np.uint8)
-        lengths = [len(by_id.get(i, b"")) for i in range(max(by_id) + 1)]
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-
         names = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.breaks = regex.compile(f"({names})")
         self.late = re.compile(f"[{UNASSIGNED}]")
         self.cut = regex.compile(PATTERN).findall, regex.compile(LATE).findall
+        self.table = offset_table(file)
         self.words: dict[str, list[int]] = {}
         self.chunks = Chunks(self)
 
@@ -236,6 +231,22 @@ class Vocabulary:
             coded = self.encode_plain(text)
         return np.frombuffer(coded, np.int32)
 
+    def decode(self, ids: np.ndarray) -> str:
+        return self.table.decode(ids)
+
+
+class Offsets:
+    """The bytes of all tokens by id, one behind the other."""
+
+    def __init__(self, file: str):
+        model = json.loads(file)
+        letters = byte_letters()
+        by_id = {i: bytes(letters[c] for c in token) for token, i in model["model"]["vocab"].items() if set(token) <= letters.keys()}
+        by_id |= {t["id"]: t["content"].encode() for t in model["added_tokens"]}
+        every = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.blob = np.frombuffer(b"".join(every), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in every])]).astype(np.int64)
+
     def decode(self, ids: np.ndarray) -> str:
         start = self.offsets[ids]
         size = self.offsets[ids + 1] - start
@@ -249,6 +260,12 @@ def vocabulary(file: str) -> Vocabulary:
     return Vocabulary(file)
 
 
+@lru_cache(maxsize=2)
+def offset_table(file: str) -> Offsets:
+    """Built once per Python worker."""
+    return Offsets(file)
+
+
 def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ids: str = "token_ids") -> DataFrame:
     """``docs`` with the token ids of each whole text."""
     file = Path(tokenizer or default_tokenizer()).read_text("utf-8")
@@ -268,7 +285,7 @@ def decode(frame: DataFrame, ids: str = "token_ids", tokenizer: str | None = Non
     file = Path(tokenizer or default_tokenizer()).read_text("utf-8")
 
     def make(columns: list[pa.Array]) -> list:
-        tokens = vocabulary(file)
+        tokens = offset_table(file)
         return [[tokens.decode(row.values.to_numpy()) if row.is_valid else "" for row in columns[0]]]
 
     return with_rows(frame, {text: T.StringType()}, make, ids)
