@@ -85,16 +85,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES) ->
     weights = np.zeros(BUCKETS)
     if not rows:
         return OrdinalModel(weights, np.arange(1.0, grades))
-    lengths = np.array([len(b) for b, _, _ in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    bucket = np.concatenate([b for b, _, _ in rows])
-    value = np.concatenate([v for _, v, _ in rows])
     grade = np.array([g for _, _, g in rows])
-    texts = np.bincount(bucket, minlength=BUCKETS)
-    toxic = np.bincount(bucket, (grade[owner] > 0).astype(float), BUCKETS)
+    texts, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for bucket, _, g in rows:  # a text has each bucket once
+        texts[bucket] += 1
+        toxic[bucket] += g > 0
     telling = (texts >= LEAST_TEXTS) & (toxic >= LIFT * (grade > 0).mean() * texts)
-    names, column = np.unique(bucket[telling[bucket]], return_inverse=True)
-    owner, value = owner[telling[bucket]], value[telling[bucket]]
+    # Only what can get a weight is laid out for all texts together.
+    kept = [telling[b] for b, _, _ in rows]
+    names, column = np.unique(np.concatenate([b[k] for (b, _, _), k in zip(rows, kept)]), return_inverse=True)
+    value = np.concatenate([v[k] for (_, v, _), k in zip(rows, kept)]).astype(float)
+    owner = np.repeat(np.arange(len(rows)), [int(k.sum()) for k in kept])
     w, seen = np.zeros(len(names)), np.full(len(names), 1e-8)
     share = np.array([(grade > k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share[0] / (1 - share[0]))
@@ -147,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     kinds = {"bucket": T.ArrayType(T.IntegerType()), "value": T.ArrayType(T.FloatType())}
     rows = with_rows(labelled(docs, labels, sample), kinds, make, "text").drop("text").toLocalIterator()
     # In one order, however the rows arrive.
-    found = [(np.array(r["bucket"], np.int64), np.array(r["value"]), r["grade"]) for r in rows]
-    found.sort(key=lambda x: (x[2], len(x[0]), x[0].tobytes()))
+    found = [(np.array(r["bucket"], np.int32), np.array(r["value"], np.float32), r["grade"]) for r in rows]
+    found.sort(key=lambda x: (x[2], len(x[0]), xxhash.xxh3_64_intdigest(x[0].tobytes())))
     return fit(found)
 
 
