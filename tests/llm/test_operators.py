@@ -226,3 +226,41 @@ def test_html(spark):
     assert found[0] == "Head&line\n\nFirst part <b>\n\nSecond bold line with more words, to be sure."
     assert found[1] == found[2] == ""
     assert html_extract.extract_text(pages.limit(0), model=model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def html_model(spark):
+    sample = spark.read.parquet(f"{SMALL}/pages.parquet").select("html").collect()
+    return html_extract.train([r[0] for r in sample])
+
+
+STORY = (
+    "<h1>Big storm hits coast</h1><p>The storm came in the night, and people had to leave their homes.</p><p>Officials said that "
+    'the roads, which had been closed, would open on <b>Friday</b>, if the <a href="/w">weather</a> holds.</p>'
+)
+LOOSE = (
+    "The storm came in the night, and people had to leave their homes.<br><br>Officials said that the roads, which had been closed, "
+    'would open on <b>Friday</b>, if the <a class="external" href="/w">weather</a> holds. More will be known then.'
+)
+ADVERT, MENU = '<ins class="ads">Buy cheap shoes XX</ins>', '<a href="/">Home XX</a> <a href="/n">News XX</a> <a href="/s">Sport XX</a>'
+
+
+@pytest.mark.parametrize("story", [STORY, "<h1>Big storm hits coast</h1>" + LOOSE])
+@pytest.mark.parametrize(
+    "around",
+    [
+        ADVERT + "<article>{}</article>",
+        "<article>{}" + ADVERT + "</article>",
+        MENU + "<article>{}</article>",
+        '<div class="wrapper">' + MENU + "<article>{}</article></div>",
+        '<article>{}</article><span class="share">Share this XX</span>',
+        '<article>{}<span class="share">Share this XX</span></article>',
+        "Skip to content XX<article>{}</article>",
+        '<div id="page">Skip to content XX<div class="content">{}</div></div>',
+        "<article>{}</article>Copyright 2020 Some Company XX. All rights reserved.",
+    ],
+)
+def test_html_parts_beside_blocks(html_model, around, story):
+    found = html_extract.extract(f"<html><body>{around.format(story)}</body></html>", html_model)
+    assert "XX" not in found
+    assert all(w in found for w in ("Big storm hits coast", "leave their homes.", "on Friday, if the weather holds."))

@@ -7,6 +7,12 @@ element can only be kept if its parent is, and among all such choices the one wi
 of log odds is taken, by one pass up and one down the tree. Text of kept elements is put out by
 blocks, in page order.
 
+Text that stands beside blocks (under body, a wrapper, the article) is a node of its own, with the
+plain inline elements in it, and so are menus of bare links; they are judged like elements. Inline
+elements with a name (class, id, role, ...) are judged too. Only inside a text block (p, li, h1 to h6,
+td, blockquote, ... without other blocks) inline elements go with it, and the text of an element
+without blocks goes with that element.
+
 The trees are fitted on a bounded sample: at most ``PAGES`` pages with an article element, those with the
 smallest hash of page_id. Their paragraphs are also set anew into generated layouts (other wrappers,
 menus, notices, adverts, forms, comments, ...), so that the model learns such parts even where the
@@ -43,6 +49,13 @@ INLINE = set(
     "a abbr b bdi bdo cite code del dfn em font i ins kbd label mark q s samp small span strong sub sup "
     "time tt u var big strike acronym br wbr img".split()
 )
+# Blocks whose inline elements go with them, and the blocks that may stand in them.
+TEXT_BLOCKS = set("p li h1 h2 h3 h4 h5 h6 td th blockquote pre dt dd figcaption caption address summary".split())
+LISTS = set("ul ol dl".split())
+# The node of a run of text.
+TEXT = "#text"
+# Attributes that name an element.
+NAMING = ("class", "id", "role", "aria-label", "itemprop")
 # Elements that end an open paragraph.
 BREAKS_P = set(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -54,12 +67,14 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "aside", "body", "td", "nav", "form"}
 TAGS = (
     "html body div article main section aside nav header footer form p h1 h2 h3 h4 h5 h6 ul ol li table tr td "
-    "th blockquote pre figure figcaption a span b button fieldset dl dt dd address details menu"
+    "th blockquote pre figure figcaption a span b button fieldset dl dt dd address details menu #text ins small label"
 ).split()
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<([!?/]?)([a-zA-Z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[a-z]+")
+_NAMED = re.compile(r"(?:^|[\s\"'])(?:" + "|".join(NAMING) + r")\s*=", re.I)
+_BETWEEN_LINKS = re.compile(r"[\s|/·•»›>–-]*")
 _END = {t: re.compile(f"</{t}\\s*>", re.I) for t in RAW}
 
 
@@ -70,9 +85,115 @@ class Node:
     depth: int
     attributes: str = ""
     parts: list = field(default_factory=list)  # texts and child numbers in page order
+    judged: bool = True  # by its own odds; else it goes with its parent
+
+
+def menus_apart(nodes: list[Node], flow: list) -> list[list]:
+    """A run of text and inline elements, cut so that two or more links in a row are by themselves."""
+    cuts, start, last, links = [0], None, 0, 0
+
+    def end() -> None:
+        if links > 1:
+            cuts.extend((start, last))
+
+    for k, part in enumerate(flow):
+        if part.__class__ is not str and nodes[part].tag == "a":
+            start, links = (start, links + 1) if links else (k, 1)
+            last = k + 1
+        elif part.__class__ is str and not _BETWEEN_LINKS.fullmatch(part):
+            end()
+            links = 0
+        elif part.__class__ is not str and nodes[part].tag not in ("br", "wbr"):
+            end()
+            links = 0
+    end()
+    cuts.append(len(flow))
+    return [flow[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def with_runs(nodes: list[Node]) -> list[Node]:
+    """The tree with a node for every run of text that is judged by itself (still in page order)."""
+    n = len(nodes)
+    flat, texty, named = [True] * n, [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        if nodes[i].tag not in INLINE or not flat[i]:
+            flat[nodes[i].parent] = False
+    for i in range(1, n):
+        node = nodes[i]
+        if node.tag in INLINE:
+            texty[i] = texty[node.parent]
+            named[i] = "=" in node.attributes and _NAMED.search(node.attributes) is not None
+        elif node.tag in TEXT_BLOCKS:
+            texty[i] = flat[i] or not any(
+                p.__class__ is int and nodes[p].tag not in INLINE and nodes[p].tag not in LISTS for p in node.parts
+            )
+
+    def runs(i: int) -> list:
+        found, flow = [], []
+        whole = flat[i]
+
+        def close() -> None:
+            pieces = menus_apart(nodes, flow)
+            for piece in pieces:
+                links = sum(p.__class__ is int and nodes[p].tag == "a" for p in piece)
+                blank = all(p.__class__ is str and p.isspace() for p in piece)
+                if blank or (whole and (links < 2 or len(pieces) == 1 or not apart(piece))):
+                    found.extend(piece)
+                else:
+                    solid = [p for p in piece if p.__class__ is int or not p.isspace()]
+                    # An element by itself is judged as such.
+                    found.append((solid[0],) if len(solid) == 1 and solid[0].__class__ is int else piece)
+            flow.clear()
+
+        for part in nodes[i].parts:
+            if part.__class__ is str or (nodes[part].tag in INLINE and flat[part] and not named[part]):
+                flow.append(part)
+            else:
+                close()
+                found.append(part)
+        close()
+        return found
+
+    def apart(piece: list) -> bool:
+        """Whether nothing but links and what parts them is in it."""
+        return all(
+            _BETWEEN_LINKS.fullmatch(p) if p.__class__ is str else nodes[p].tag in ("a", "br", "wbr") for p in piece
+        )
+
+    made: list[Node] = []
+    work: list = [(0, 0, False)]
+    while work:
+        item, up, inside = work.pop()
+        if item.__class__ is str:
+            made[up].parts.append(item)
+            continue
+        depth = made[up].depth + 1 if made else 0
+        if item.__class__ is list:
+            node, parts, inside = Node(TEXT, up, depth), item, True
+        elif item.__class__ is tuple:
+            old = nodes[item[0]]
+            node, parts, inside = Node(old.tag, up, depth, old.attributes), old.parts, True
+        else:
+            old = nodes[item]
+            inline = old.tag in INLINE
+            inside = texty[item] or (inside and inline)
+            plain = inline and flat[item] and not named[item]
+            node = Node(old.tag, up, depth, old.attributes, judged=not (inline and (inside or plain)))
+            parts = old.parts if inside or plain else runs(item)
+        me = len(made)
+        if made:
+            made[up].parts.append(me)
+        made.append(node)
+        work.extend((p, me, inside) for p in reversed(parts))
+    return made
 
 
 def parse(page: str) -> list[Node]:
+    """Elements and runs of text in page order; node 0 is the root."""
+    return with_runs(elements(page))
+
+
+def elements(page: str) -> list[Node]:
     """Elements in page order; node 0 is the root."""
     nodes = [Node("#", 0, 0)]
     stack = [0]
@@ -134,7 +255,7 @@ def parse(page: str) -> list[Node]:
 
 
 _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
-_NUMBERS = 19
+_NUMBERS = 21
 FEATURES = _NUMBERS + len(TAGS) + TOKEN_BUCKETS
 
 
@@ -142,6 +263,30 @@ def bucket(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode()) % TOKEN_BUCKETS
 
 
+def in_line(nodes: list[Node], node: Node, back: bool = False) -> list[tuple]:
+    """(part, neighbour) for the judged inline parts of a node with text or an inline element right
+    behind them (before them if ``back``) on the same line."""
+    parts = [p for p in node.parts if p.__class__ is int or not p.isspace()]
+    if len(parts) < 2:
+        return []
+    inline = [p.__class__ is str or nodes[p].tag == TEXT or nodes[p].tag in INLINE and nodes[p].tag != "br" for p in parts]
+
+    def broken(p, last: bool) -> bool:
+        """Whether a run of text begins (ends) with a line break."""
+        if p.__class__ is str or nodes[p].tag != TEXT:
+            return False
+        solid = [q for q in nodes[p].parts if q.__class__ is int or not q.isspace()]
+        return solid[-last].__class__ is int and nodes[solid[-last]].tag == "br"
+
+    found = []
+    for k in range(len(parts) - 1):
+        if inline[k] and inline[k + 1] and not broken(parts[k], True) and not broken(parts[k + 1], False):
+            a, b = (parts[k + 1], parts[k]) if back else (parts[k], parts[k + 1])
+            if a.__class__ is int and nodes[a].judged:
+                found.append((a, b))
+    return found
+
+
 def describe(nodes: list[Node]) -> np.ndarray:
     """One row of features per node."""
     n = len(nodes)
@@ -172,6 +317,12 @@ def describe(nodes: list[Node]) -> np.ndarray:
             within[j] = 1 if nodes[i].tag in ("article", "main") else within[i]
         kinds[i] = count
         paragraphs[i] = count.get("p", 0)
+    before, after = [0] * n, [0] * n
+    for node in nodes:
+        for a, b in in_line(nodes, node):
+            after[a] = len(b) - b.count(" ") if b.__class__ is str else chars[b]
+        for b, a in in_line(nodes, node, True):
+            before[b] = len(a) - a.count(" ") if a.__class__ is str else chars[a]
     numbers = []
     for i, node in enumerate(nodes):
         up = node.parent
@@ -183,14 +334,14 @@ def describe(nodes: list[Node]) -> np.ndarray:
                 chars[i], linked[i] / (chars[i] + 1), chars[i] / tags[i], stops[i] / (chars[i] + 1) * 100, blocks[i],
                 chars[i] / (chars[0] + 1), chars[up], linked[up] / (chars[up] + 1), paragraphs[up],
                 _TAG_NUMBER.get(nodes[up].tag, -1), chars[same[place[i] - 1]] if place[i] else 0, within[i],
-                paragraphs[i],
+                paragraphs[i], before[i], after[i],
             )
         )
         if node.tag in _TAG_NUMBER:
             rows[i, _NUMBERS + _TAG_NUMBER[node.tag]] = 1
         if "=" in node.attributes:
             for name, *values in _ATTR.findall(node.attributes.lower()):
-                if name in ("class", "id", "role", "aria-label", "itemprop"):
+                if name in NAMING:
                     for token in _PARTS.findall("".join(values)):
                         rows[i, _NUMBERS + len(TAGS) + bucket(token)] = 1
     rows[:, :_NUMBERS] = numbers
@@ -258,27 +409,46 @@ def boost(rows: np.ndarray, wanted: np.ndarray, trees: int = TREES) -> Trees:
     return Trees(*(np.array(x) for x in zip(*made)), base)
 
 
+def subtree(nodes: list[Node], i: int) -> list[int]:
+    found = [i]
+    for k in found:
+        found += [p for p in nodes[k].parts if p.__class__ is int]
+    return found
+
+
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     """The consistent choice of elements (none without its parent) with the largest sum of odds."""
     best = np.clip(odds, -8, 8).astype(float)
     # Bare elements of one kind beside each other are judged together.
     alike: dict[tuple[int, str], list[int]] = {}
     for i, node in enumerate(nodes):
-        if i and node.tag not in INLINE and "=" not in node.attributes:
+        if i and node.tag not in INLINE and node.tag != TEXT and "=" not in node.attributes:
             alike.setdefault((node.parent, node.tag), []).append(i)
     for group in alike.values():
         if len(group) > 1 and nodes[group[0]].tag != "div":
             best[group] = best[group].mean()
+    # So are runs of text on one line with an inline element between them, by their length.
+    for node in nodes:
+        if sum(p.__class__ is int and nodes[p].tag == TEXT for p in node.parts) > 1:
+            line: list[int] = []
+            joined = {a: b for a, b in in_line(nodes, node) if b.__class__ is int}
+            for part in [*node.parts, None]:
+                if part.__class__ is int and nodes[part].tag == TEXT:
+                    line.append(part)
+                if part is None or (part.__class__ is int and part not in joined):
+                    if len(line) > 1:
+                        size = [sum(len(p) for k in subtree(nodes, i) for p in nodes[k].parts if p.__class__ is str) for i in line]
+                        best[line] = np.average(best[line], weights=size)
+                    line = []
     best[0] = max(best[0], 0)
+    best[[not node.judged for node in nodes]] = 0
     for i in range(len(nodes) - 1, 0, -1):
-        if nodes[i].tag in INLINE:  # inline elements go with their block
-            best[i] = 0
-        elif best[i] > 0:
+        if best[i] > 0:
             best[nodes[i].parent] += best[i]
     kept = np.zeros(len(nodes), bool)
     kept[0] = True
     for i in range(1, len(nodes)):
-        kept[i] = kept[nodes[i].parent] and (nodes[i].tag in INLINE or best[i] > 0)
+        kept[i] = kept[nodes[i].parent] and (not nodes[i].judged or best[i] > 0)
     return kept
 
 
@@ -303,18 +473,22 @@ def blocks_of(nodes: list[Node], kept: np.ndarray) -> list[str]:
             node = nodes[item]
             if node.tag == "br":
                 now.append(" ")
-            elif node.tag in INLINE:
+            elif node.tag in INLINE or node.tag == TEXT:
                 work.extend(reversed(node.parts))
             else:
                 close()
                 work.append(None)
                 work.extend(reversed(node.parts))
-        elif nodes[item].tag not in INLINE:
+        elif nodes[item].tag not in INLINE and nodes[item].tag != TEXT:
             close()
+        else:
+            now.append(" ")
     close()
     return found
 
 
+# Stands before bare article text of a layout.
+MARK = "\ue000"
 # Layouts for training: words that name parts of pages, and elements that hold them.
 MAIN_NAMES = (
     "article post content entry story text body main page single news blog post-content entry-content "
@@ -338,13 +512,13 @@ OTHER_NAMES = {
 }
 HOLDERS = {
     "nav": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "aside": ("aside", "div", "section"),
-    "ad": ("div", "aside", "section", "ins"), "notice": ("div", "section", "aside", "p"), "form": ("form",),
-    "comments": ("section", "div", "ol", "aside"), "share": ("div", "ul"),
+    "ad": ("div", "aside", "section", "ins", "ins", "span"), "notice": ("div", "section", "aside", "p"), "form": ("form",),
+    "comments": ("section", "div", "ol", "aside"), "share": ("div", "ul", "span"),
 }
 
 
 def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -> str:
-    """A page around the given article texts; elements of the article carry ``data-y``."""
+    """A page around the given article texts; elements of the article carry ``data-y``, bare text ``MARK``."""
     esc = html.escape
 
     def names(options: list[str]) -> str:
@@ -354,8 +528,32 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
     def few_words() -> str:
         return " ".join(rnd.choice(other).split()[: rnd.randint(1, 6)])
 
+    def links() -> str:
+        return rnd.choice([" ", "", " | ", "\n"]).join(
+            f'<a href="/x">{esc(few_words())}</a>' for _ in range(rnd.randint(2, 7))
+        )
+
+    def bare() -> str:
+        """Text or inline elements that stand by themselves and are not of the article."""
+        kind, some_words = rnd.random(), esc(rnd.choice(other) if rnd.random() < 0.15 else few_words())
+        if kind < 0.3:
+            return rnd.choice(["{}", "{}", "&copy; 2020 {}", "Copyright 2021 {}", "{}. All rights reserved.", "Skip to {}"]).format(some_words)
+        if kind < 0.55:
+            return links()
+        if kind < 0.7:
+            tag = rnd.choice(["small", "label", "span", "a", "em", "b", "cite"])
+            return f"<{tag}{names(sum(OTHER_NAMES.values(), []))}>{some_words}</{tag}>"
+        return inline_part(rnd.choice(["ad", "ad", "share", "share", "nav", "footer", "header", "aside"]))
+
+    def inline_part(kind: str) -> str:
+        tag = rnd.choice(["ins", "span", "span", "a", "small"] if kind != "ad" else ["ins", "ins", "span", "a"])
+        inner = links() if tag != "a" and rnd.random() < 0.3 else esc(rnd.choice(other) if rnd.random() < 0.3 else few_words())
+        return f'<{tag} {rnd.choice(["class", "class", "id"])}="{rnd.choice(OTHER_NAMES[kind])}">{inner}</{tag}>'
+
     def part(kind: str) -> str:
         tag = rnd.choice(HOLDERS[kind])
+        if tag in ("ins", "span") and rnd.random() < 0.8:
+            return inline_part(kind)
         if kind in ("nav", "share") or (kind in ("aside", "footer") and rnd.random() < 0.5):
             inner = "".join(f'<li><a href="/x">{esc(few_words())}</a></li>' for _ in range(rnd.randint(2, 9)))
             inner = inner if tag == "ul" else f"<ul>{inner}</ul>"
@@ -376,13 +574,34 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
         return f"<{tag}{named}>{inner}</{tag}>"
 
     def some(kinds: str, most: int) -> str:
-        return "".join(part(k) for k in rnd.sample(kinds.split(), rnd.randint(0, most)))
+        made = [part(k) for k in rnd.sample(kinds.split(), rnd.randint(0, most))]
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            made.insert(rnd.randint(0, len(made)), bare())
+        return "".join(made)
+
+    def phrase(text: str) -> str:
+        """Article text with inline elements in it."""
+        words = esc(text).split()
+        for _ in range(rnd.choice([0, 1, 2, 3])):
+            k, tag = rnd.randrange(len(words)), rnd.choice("a a b em span strong i".split())
+            named = f' class="{rnd.choice("external ref lead highlight keyword term quote internal-link text bold".split())}"'
+            words[k] = f'<{tag} data-y=1{named if rnd.random() < 0.5 else ""}>{words[k]}</{tag}>'
+        return " ".join(w if w.startswith("<") else MARK + w for w in words)
 
     pieces = [f'<h{(n := rnd.choice([1, 1, 2]))} data-y=1>{esc(title)}</h{n}>'] if rnd.random() < 0.9 else []
     if pieces and rnd.random() < 0.15:
         pieces = [f"<header data-y=1>{pieces[0]}</header>"]
     brief = rnd.random() < 0.2
-    for text in texts:
+    loose = rnd.random() < 0.2
+    if loose:
+        shown = [phrase(t) for t in texts if t.split()]
+        if rnd.random() < 0.2:
+            shown = [f'<span data-y=1 class="{rnd.choice(MAIN_NAMES)}">{t}</span>' for t in shown]
+        for k, t in enumerate(shown):
+            pieces.append(("<br><br>" if k else "") + t)
+            if rnd.random() < 0.15:
+                pieces.append(part(rnd.choice(["ad", "share", "notice", "aside"])) + rnd.choice(["", f"<p data-y=1>{esc(texts[0])}</p>"]))
+    for text in () if loose else texts:
         text = " ".join(text.split()[: rnd.randint(1, 5)]) if brief else text
         kind = rnd.random()
         if kind < 0.08:
@@ -396,6 +615,12 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
             pieces.append(f"<p data-y=1>{esc(text)}</p>")
         if rnd.random() < 0.12:
             pieces.append(part(rnd.choice(["ad", "share", "notice", "form", "aside"])))
+        if rnd.random() < 0.06:
+            pieces.append(bare())
+    if not loose and rnd.random() < 0.1:
+        pieces.insert(0, bare())
+    if not loose and rnd.random() < 0.15:
+        pieces.append(bare())
     body = "".join(pieces)
     if rnd.random() < 0.25:
         body += part("comments")
@@ -405,7 +630,7 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
         named = names(MAIN_NAMES) if plain else (names(MAIN_NAMES) or ' class="row"')
         body = f"<{tag} data-y=1{named}>{body}</{tag}>"
         if rnd.random() < 0.3:
-            body += some("aside ad share comments", 2)
+            body = some("aside ad share comments", 1) + body + some("aside ad share comments", 2)
     before = some("nav header ad notice form", 4)
     after = some("comments aside ad nav notice form share", 4)
     end = part("footer") if rnd.random() < 0.8 else ""
@@ -418,7 +643,9 @@ def labelled_nodes(nodes: list[Node], inside: str) -> np.ndarray:
     for i, node in enumerate(nodes):
         if i and inside == "article":
             wanted[i] = node.tag == "article" or (wanted[node.parent] and nodes[node.parent].tag not in ("#", "html", "body"))
-        elif "data-y" in node.attributes:
+        elif "data-y" in node.attributes or (
+            node.tag == TEXT and any(p.__class__ is str and MARK in p for k in subtree(nodes, i) for p in nodes[k].parts)
+        ):
             wanted[i] = 1
     for i in range(len(nodes) - 1, 0, -1):
         if wanted[i]:
@@ -435,21 +662,24 @@ def train(pages: list[str], seed: int = 11, layouts: int = 800) -> Trees:
         y = labelled_nodes(nodes, "article")
         for i in range(1, len(nodes)):  # elements around the article go up to it only
             if nodes[i].tag == "article":
-                texts = blocks_of(nodes, np.array([k == 0 or bool(y[k]) or nodes[k].tag in INLINE for k in range(len(nodes))]))
+                texts = blocks_of(nodes, y > 0)
                 stories.append(texts)
                 break
-        rows.append(describe(nodes))
-        wanted.append(y)
+        mine = [node.judged for node in nodes]
+        rows.append(describe(nodes)[mine])
+        wanted.append(y[mine])
     stories = [s for s in stories if s] or [["a text of a few words.", "and one more."]]
     other += [t for s in stories for t in s[1:3]]
     for _ in range(layouts):
         title, *texts = rnd.choice(stories)
         start = rnd.randint(0, max(0, len(texts) - 1))
         nodes = parse(layout(rnd, title[:80], texts[start : start + rnd.randint(1, 12)] or [title], other))
-        rows.append(describe(nodes))
-        wanted.append(labelled_nodes(nodes, "data-y"))
+        mine = [node.judged for node in nodes]
+        wanted.append(labelled_nodes(nodes, "data-y")[mine])
         for node in nodes:
             node.attributes = node.attributes.replace("data-y=1", "")
+            node.parts = [p.replace(MARK, "") if p.__class__ is str else p for p in node.parts]
+        rows.append(describe(nodes)[mine])
     return boost(np.concatenate(rows), np.concatenate(wanted))
 
 
