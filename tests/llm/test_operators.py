@@ -264,3 +264,20 @@ def test_html_parts_beside_blocks(html_model, around, story):
     found = html_extract.extract(f"<html><body>{around.format(story)}</body></html>", html_model)
     assert "XX" not in found
     assert all(w in found for w in ("Big storm hits coast", "leave their homes.", "on Friday, if the weather holds."))
+
+
+def test_html_labels_leave_out_other_parts():
+    page = (
+        "<body class='comments'>XX<article class=post><h1>Head</h1>{0}<p>Text of it.</p>{1}</article><section class=comments><article "
+        "class=comment><p>Nice XX</p></article></section></body>"
+    )
+    parts = (
+        "<div class='ad-slot'><p>Buy XX</p></div><aside><p>More XX</p></aside><form><label>Mail XX</label></form>"
+        "<ul class='social share'><li>Tell XX</li></ul><nav><a href=/>Home XX</a></nav><ins class=ads>Buy XX</ins>",
+        "<ol class='comment-list'><li><article><p>Good XX</p></article></li></ol><article id=comment-7>Bad XX</article>",
+    )
+    nodes = html_extract.parse(page.format(*parts))
+    wanted = html_extract.labelled_nodes(nodes, "article") > 0
+    assert html_extract.blocks_of(nodes, wanted) == ["Head", "Text of it."]
+    only = html_extract.parse("<body><div class=comments><article><p>Nice</p></article></div></body>")
+    assert not html_extract.labelled_nodes(only, "article").any()

@@ -637,13 +637,59 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
     return f"<html><head><title>x</title></head><body>{before}{body}{after}{end}</body></html>"
 
 
+# Parts of a page that are not article text, wherever they stand.
+_APART_TAGS = ("aside", "form", "nav")
+_COMMENTS = set(OTHER_NAMES["comments"])
+_APART = _COMMENTS | set(sum((OTHER_NAMES[k] for k in ("ad", "aside", "form", "nav", "share")), []))
+_APART_PARTS = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo sidebar related nav navbar navigation "
+    "breadcrumb breadcrumbs pagination share sharing social comment comments disqus".split()
+)
+
+
+def names_of(node: Node) -> set[str]:
+    if "=" not in node.attributes:
+        return set()
+    found = _ATTR.findall(node.attributes.lower())
+    return {t for name, *values in found if name in ("class", "id", "role") for t in "".join(values).split()}
+
+
+def article_nodes(nodes: list[Node]) -> np.ndarray:
+    """Which nodes lie in an article of the page, less its adverts, asides, forms, menus, share boxes and comments.
+
+    The article of a reader's comment is none.
+    """
+    inside, comment = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+    for i, node in enumerate(nodes):
+        if not i:
+            continue
+        names = names_of(node)
+        parts = {p for t in names for p in _PARTS.findall(t)}
+        page = node.tag in ("html", "body")
+        comment[i] = not page and (comment[node.parent] or bool(names & _COMMENTS) or (node.tag == "article" and "comment" in parts))
+        if comment[i]:
+            continue
+        if inside[node.parent]:
+            inside[i] = not (node.tag in _APART_TAGS or names & _APART or parts & _APART_PARTS)
+        else:
+            # Below a part taken out of an article nothing is an article again.
+            inside[i] = node.tag == "article" and not any(inside[k] for k in above(nodes, i))
+    return inside
+
+
+def above(nodes: list[Node], i: int) -> list[int]:
+    found = []
+    while i:
+        i = nodes[i].parent
+        found.append(i)
+    return found
+
+
 def labelled_nodes(nodes: list[Node], inside: str) -> np.ndarray:
     """1 for elements of the article and those around it; ``inside`` is how the article is known."""
-    wanted = np.zeros(len(nodes))
-    for i, node in enumerate(nodes):
-        if i and inside == "article":
-            wanted[i] = node.tag == "article" or (wanted[node.parent] and nodes[node.parent].tag not in ("#", "html", "body"))
-        elif "data-y" in node.attributes or (
+    wanted = article_nodes(nodes).astype(float) if inside == "article" else np.zeros(len(nodes))
+    for i, node in enumerate(nodes if inside != "article" else ()):
+        if "data-y" in node.attributes or (
             node.tag == TEXT and any(p.__class__ is str and MARK in p for k in subtree(nodes, i) for p in nodes[k].parts)
         ):
             wanted[i] = 1
@@ -660,8 +706,10 @@ def train(pages: list[str], seed: int = 11, layouts: int = 800) -> Trees:
     for page in pages:
         nodes = parse(page)
         y = labelled_nodes(nodes, "article")
+        if not y.any():  # no article, or of comments only
+            continue
         for i in range(1, len(nodes)):  # elements around the article go up to it only
-            if nodes[i].tag == "article":
+            if nodes[i].tag == "article" and y[i]:
                 texts = blocks_of(nodes, y > 0)
                 stories.append(texts)
                 break
