@@ -281,3 +281,11 @@ def test_html_labels_leave_out_other_parts():
     assert html_extract.blocks_of(nodes, wanted) == ["Head", "Text of it."]
     only = html_extract.parse("<body><div class=comments><article><p>Nice</p></article></div></body>")
     assert not html_extract.labelled_nodes(only, "article").any()
+
+
+def test_importance_counts_every_good_document(spark):
+    docs = spark.range(20_050).selectExpr("id as doc_id", "concat('w', id) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    # Target and raw text are the same, so no n-gram tells them apart (but for a pseudo-count of 0.001).
+    found = importance.select_by_importance(docs, labels).agg(F.max(F.abs("log_weight"))).first()[0]
+    assert found < 2e-3

@@ -6,9 +6,8 @@ probability under both, summed over its n-grams. Adding Gumbel noise and taking
 draws documents without replacement in proportion to their weights. The noise is a hash of doc_id,
 so a result can be repeated.
 
-The raw model counts every document; only its fixed-size table of bucket counts comes to the driver.
-The target model counts at most ``TARGETS`` labelled documents, those with the smallest hash of
-doc_id. The number kept is ``share`` of all rows, found exactly by digits of the key, without a
+The raw model counts every document, the target model every document labelled as good; only their
+fixed-size tables of bucket counts come to the driver. The number kept is ``share`` of all rows, found exactly by digits of the key, without a
 global sort; ties go to the smaller doc_id (null last), and rows equal in both share their fate up
 to the number left. Null and empty texts have no n-grams and a weight of 0. Labels without doc_id or
 quality are left out.
@@ -25,11 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, table, with_rows, written
+from tidemark.llm.common import fresh, small, table, with_rows, written
 from tidemark.llm.shingles import mix, word_hashes
 
 BUCKETS = 10_000
-TARGETS = 20_000
 SHARE = 0.85
 SMOOTHING = 1.0
 
@@ -107,17 +105,10 @@ def select_by_importance(
     share: float = SHARE,
     seed: int = 7,
     buckets: int = BUCKETS,
-    targets: int = TARGETS,
 ) -> DataFrame:
     """``docs`` with ``log_weight``, ``sample_key`` and ``kept``."""
-    good = (
-        labels.where("quality = 1 and doc_id is not null")
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(targets)
-    )
-    target = docs.join(F.broadcast(good.withColumnRenamed("doc_id", key)), key, "left_semi")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    target = docs.join(small(written(good, "good")), key, "left_semi")
     ratio = log_ratio(bucket_counts(target, text, buckets), bucket_counts(docs, text, buckets))
 
     def make(columns: list[pa.Array]) -> list:
