@@ -289,3 +289,17 @@ def test_importance_counts_every_good_document(spark):
     # Target and raw text are the same, so no n-gram tells them apart (but for a pseudo-count of 0.001).
     found = importance.select_by_importance(docs, labels).agg(F.max(F.abs("log_weight"))).first()[0]
     assert found < 2e-3
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.7])
+def test_jaccard_join_other_thresholds(spark, threshold):
+    rnd, rows = random.Random(21), []
+    for k in range(120):
+        text = [f"w{rnd.randint(0, 10**6)}" for _ in range(204)]
+        # The first of 200 shingles stay; the others of the second text are new.
+        same = -(-2 * 200 * threshold // (1 + threshold))
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[: int(same) + 4] + [f"x{rnd.random()}" for _ in range(200 - int(same))]))]
+    want = jaccard_join.brute_force(rows, threshold=threshold)
+    assert all(c == k - k % 2 for k, (c, _) in want.items())
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == want

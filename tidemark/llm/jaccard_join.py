@@ -4,8 +4,11 @@ Every text is the set of its five-word shingles (all its words, if fewer). Each
 recursively: on every level a set follows those of its shingles that a hash of the path so far
 samples, with about ``spread / size`` as the chance, so two sets of similarity ``threshold`` or more
 share more than one branch on average and unlike sets part quickly. Sets that end in one bucket are
-compared by brute force. ``runs`` independent runs make the chance of missing a pair at the
-threshold less than one in a thousand; more similar pairs are safer still.
+compared by brute force. ``spread`` is so set that two sets at the threshold share ``LEVEL`` branches
+on average even if one lies inside the other. Then ``RUNS`` runs miss such a pair with a chance of
+at most 5.9e-4, at any threshold. The sketches of step 3 are the same in all runs and miss it with a
+chance of at most ``SKETCH_LOSS`` (1e-7) more, so jointly a pair at the threshold is missed less than
+once in a thousand; more similar pairs are safer still.
 
 Steps: (1) texts with equal sets are one node. (2) Paths that only one set takes are dropped by a
 fixed-width aggregate. (3) In every bucket left, pairs are compared by small minimum-hash sketches;
@@ -22,6 +25,7 @@ rows are copies of each other. Null keys are kept; the class id is the smallest
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +39,10 @@ from tidemark.llm.components import Joined, components
 from tidemark.llm.shingles import mix, shingles, word_hashes, words_of
 
 WORDS, THRESHOLD = 5, 0.8
-RUNS, DEPTH, SPREAD = 12, 3, 1.43
-# Minimum hashes in a sketch (8 bits each), and the share that must agree for an exact look.
-SKETCH, ALIKE = 64, 0.6
+# Branches that two sets at the threshold share on average on each level of a run, at least.
+RUNS, DEPTH, LEVEL = 12, 3, 1.144
+# Minimum hashes in a sketch (8 bits each), and the chance that a pair at the threshold fails by it.
+SKETCH, SKETCH_LOSS = 64, 1e-7
 # Members of a block; larger buckets and clusters are compared in pairs of blocks.
 BLOCK = 1024
 
@@ -45,6 +50,24 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def spread_of(threshold: float) -> float:
+    """Branches of a set on each level: of one inside another, ``threshold`` times these are shared."""
+    return LEVEL / threshold
+
+
+def alike_of(threshold: float) -> int:
+    """Sketch values that must agree for an exact look: the most that loses at most ``SKETCH_LOSS``.
+
+    Each value agrees with the similarity as its chance (chance agreement of 8 bits comes on top).
+    """
+    loss = 0.0
+    for k in range(SKETCH + 1):
+        loss += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
+        if loss > SKETCH_LOSS:
+            return k
+    return SKETCH
+
+
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingles(word_hashes(words_of(text)), words))
 
@@ -137,8 +160,8 @@ def pairs_within(bounds: np.ndarray, part: np.ndarray, left: np.ndarray, right:
         yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
-def bucket_edges(buckets: DataFrame, block: int) -> DataFrame:
-    """(a, b) edges that join the sketch-alike members of each bucket."""
+def bucket_edges(buckets: DataFrame, block: int, least: int) -> DataFrame:
+    """(a, b) edges that join the members of each bucket with ``least`` equal sketch values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in complete_groups(batches, ["path", "left", "right"]):
@@ -151,7 +174,7 @@ def bucket_edges(buckets: DataFrame, block: int) -> DataFrame:
                 alike = np.zeros(len(i), bool)
                 for at in range(0, len(i), 1 << 17):
                     x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-                    alike[at : at + (1 << 17)] = (sketch[x] == sketch[y]).sum(axis=1) >= ALIKE * SKETCH
+                    alike[at : at + (1 << 17)] = (sketch[x] == sketch[y]).sum(axis=1) >= least
                 joined.link(i[alike], j[alike])
             moved = joined.moved()
             yield pa.RecordBatch.from_arrays(
@@ -257,12 +280,13 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     runs: int = RUNS,
     depth: int = DEPTH,
-    spread: float = SPREAD,
+    spread: float | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """``docs`` with ``class_id``, ``n_links`` (other rows at the threshold or above) and
     ``n_linked_texts`` (different shingle sets among them)."""
     (thash,) = fresh(docs, "thash")
+    spread = spread_of(threshold) if spread is None else spread
     # Equal texts are described once each time they occur; all further steps have one row per set.
     keys = docs.groupBy(F.xxhash64(text).alias("thash")).agg(
         F.min(key).alias("first"), F.count("*").alias("weight")
@@ -282,7 +306,7 @@ def near_duplicates(
     buckets = steps.join(small(written(live, "paths")), "path", "left_semi").distinct()
     sketches = about.select("sid", "sketch").groupBy("sid").agg(F.first("sketch").alias("sketch"))
     buckets = written(buckets.join(sketches, "sid"), "buckets")
-    clusters = components(bucket_edges(buckets, block))
+    clusters = components(bucket_edges(buckets, block, alike_of(threshold)))
     clusters = written(
         clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "clusters"
     )
