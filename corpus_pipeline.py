@@ -1,17 +1,19 @@
 """From raw documents to token ids: the corpus pipeline.
 
 Toxic documents go, then exact copies, near copies and documents that hold a benchmark passage; what
-is left is encoded. Every stage but the last returns the columns of ``documents``; each works on all
+is left is encoded. Of copies and near copies one row stays, also where rows are repeated or have no
+doc_id. Every stage but the last returns the columns of ``documents``; each works on all
 rows the one before it kept, which are written in between.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import decode, encode
-from tidemark.llm.common import table, written
+from tidemark.llm.common import fresh, table, written
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import near_duplicates
@@ -23,13 +25,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).where("not toxic").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for every row, and the key's name.
+
+    Keys sort by doc_id (null last), then by the place of the row in the files of ``docs``, which
+    stays the same however often they are read. What is not read from files is written first.
+    """
+    (key,) = fresh(docs, "row_key")
+
+    def with_key(rows: DataFrame) -> DataFrame:
+        place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return rows.withColumn(key, F.struct(F.isnull("doc_id").alias("none"), "doc_id", *place))
+
+    try:
+        return with_key(docs), key
+    except AnalysisException:
+        return with_key(written(docs, "keyed")), key
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    rows, key = keyed(docs)
+    return exact_dedup(rows, key=key).where("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class stays."""
-    return near_duplicates(docs).where("class_id <=> doc_id").select(*docs.columns)
+    rows, key = keyed(docs)
+    return near_duplicates(rows, key=key).where(F.col("class_id").eqNullSafe(F.col(key))).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

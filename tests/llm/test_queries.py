@@ -46,3 +46,14 @@ def test_pipeline_stages(spark):
             want = jaccard_join.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()])
             assert {r["doc_id"] for r in out.collect()} == {k for k, (c, _) in want.items() if c == k}
         docs = corpus_pipeline.written(out, "stage")
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
+@pytest.mark.parametrize("in_files", [True, False])
+def test_pipeline_keeps_one_of_repeated_rows(spark, stage, in_files):
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcd"]
+    rows = [(1, texts[0])] * 3 + [(None, texts[1])] * 2 + [(None, texts[2]), (7, texts[2]), (8, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = corpus_pipeline.written(docs, "rows") if in_files else docs
+    found = sorted(map(tuple, stage(spark, docs, SMALL).collect()), key=lambda r: r[1])
+    assert found == [(1, texts[0]), (None, texts[1]), (7, texts[2]), (None, texts[3])]
