@@ -57,3 +57,13 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, stage, in_files):
     docs = corpus_pipeline.written(docs, "rows") if in_files else docs
     found = sorted(map(tuple, stage(spark, docs, SMALL).collect()), key=lambda r: r[1])
     assert found == [(1, texts[0]), (None, texts[1]), (7, texts[2]), (None, texts[3])]
+
+
+def test_pipeline_exact_and_benchmark_stages_by_sql(spark, duck):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for stage, name, kept in (
+        (corpus_pipeline.drop_copies, "op2_exact_dedup", "kept"),
+        (corpus_pipeline.drop_contaminated, "op8_decontaminate", "NOT contaminated"),
+    ):
+        want = duck.execute(f"SELECT doc_id FROM ({ORACLES[name]}) WHERE {kept}").fetchall()
+        assert sorted(r["doc_id"] for r in stage(spark, docs, SMALL).collect()) == sorted(r[0] for r in want)
