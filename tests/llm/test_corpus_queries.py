@@ -9,7 +9,7 @@ from conftest import SMALL
 from tidemark.llm import jaccard_join
 from tidemark.llm.queries import ORACLES, QUERIES
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels".split()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,8 @@ def test_sql(spark, duck, name):
     assert (columns, rows) == (want_columns, want_rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+# Whitening has a row per component; its own tests compare all of them.
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op12_whitening"}))
 def test_whole_table(spark, name):
     source = "pages" if "html" in name else "documents"
     assert QUERIES[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{source}.parquet").count()

@@ -35,6 +35,15 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Remove what ``written`` wrote for ``frame``, once nothing reads it any more."""
+    context = frame.sparkSession.sparkContext
+    folders = {file.rsplit("/", 1)[0] for file in frame.inputFiles()}
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A slim written table, marked for broadcast only if it has at most ``limit`` rows."""
     return F.broadcast(frame) if frame.count() <= limit else frame

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm import (
     bpe,
+    clustering,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -13,6 +14,8 @@ from tidemark.llm import (
     substring_dedup,
     suffix_dedup,
     toxicity,
+    url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -26,10 +29,15 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_clustering": clustering.op11_clustering,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_url_filter": url_filter.op13_url_filter,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op11_clustering": clustering.SQL,
+    "op13_url_filter": url_filter.SQL,
 }
