@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -159,8 +160,73 @@ def test_one_shuffle_without_distinct_features(spark):
 
     built_in = compute_features(views.request_log(spark, SMALL), BUILT_IN_FEATURES)
     assert exchanges(built_in) == 1
-    with_distinct = compute_features(views.user_events(spark, SMALL), views.USER_FEATURES)
+    still = [d for d in views.USER_FEATURES if d.window_type != "SLIDING"]
+    with_distinct = compute_features(views.user_events(spark, SMALL), still)
     assert exchanges(with_distinct) == 2
+    # Panes to windows is one more.
+    assert exchanges(compute_features(views.user_events(spark, SMALL), views.USER_FEATURES)) == 3
+
+
+@pytest.mark.parametrize(
+    "size, slide, names", [(10, 4, "count sum distinct"), (60, 1, "count"), (6, 6, "sum"), (7, 3, "avg distinct")]
+)
+def test_panes_against_a_loop_over_windows(spark, size, slide, names):
+    """Windows from panes as from a walk through every window of every event, also before 1970."""
+    rnd = random.Random(size)
+    span = {"window_type": "SLIDING", "window": f"{size}m", "slide": f"{slide}m"}
+    made = {
+        "count": FeatureDefinition("count", "e", "COUNT", **span),
+        "sum": FeatureDefinition("sum", "e", "SUM", value_field="v", **span),
+        "avg": FeatureDefinition("avg", "e", "AVG", value_field="v", **span),
+        "distinct": FeatureDefinition("distinct", "e", "DISTINCT_COUNT", value_field="v", **span),
+    }
+    definitions = [made[n] for n in names.split()] + [
+        FeatureDefinition("day", "e", "COUNT", window_type="TUMBLING", window="1d"),
+        FeatureDefinition("ever", "e", "SUM", value_field="v"),
+    ]
+    epoch = dt.datetime(1970, 1, 1)
+    rows = [
+        (epoch + dt.timedelta(milliseconds=rnd.randint(-7_200_000, 7_200_000)), f"s{rnd.randint(0, 2)}", rnd.randint(0, 9))
+        for _ in range(150)
+    ]
+    frame = spark.createDataFrame(
+        [(str(i), "e", t, ("service", e), f'{{"v": {v}}}', t) for i, (t, e, v) in enumerate(rows)], EVENT
+    )
+    frame = frame.withColumn("payload", F.parse_json("body")).drop("body").repartition(3)
+    want = {}
+    for t, e, v in rows:
+        minute = (t - epoch) // dt.timedelta(minutes=1)
+        for start in range((minute // slide - size // slide - 1) * slide, minute + 1, slide):
+            if start <= minute < start + size:
+                for n in names.split():
+                    want.setdefault((e, n, epoch + dt.timedelta(minutes=start)), []).append(v)
+        want.setdefault((e, "day", epoch + dt.timedelta(days=minute // 1440)), []).append(v)
+        want.setdefault((e, "ever", None), []).append(v)
+    value = {
+        "count": len, "day": len, "sum": sum, "ever": sum,
+        "avg": lambda x: sum(x) / len(x), "distinct": lambda x: len(set(x)),
+    }
+    got = {
+        (r.entity_id, r.feature_name, r.window_start): (r.value, r.n)
+        for r in compute_features(frame, definitions).collect()
+    }
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key] == (pytest.approx(value[key[1]](values)), len(values))
+
+
+def test_events_are_reduced_before_windows_multiply(spark):
+    from conftest import SMALL
+    from tidemark.workload import views
+
+    hourly = [views.feature("click_count_1h_15m")]
+    plan = compute_features(views.user_events(spark, SMALL), hourly)
+    text = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    spread = next(i for i, line in enumerate(text) if "Generate explode" in line and "sequence" in line)
+    first = max(i for i, line in enumerate(text) if "Aggregate" in line)
+    # Deeper lines come later: the windows are above the first aggregate.
+    assert spread < first
+    assert not any("sequence" in line for line in text[first:])
 
 
 def test_scan_reads_only_what_features_need(spark):

@@ -10,13 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _floor_to(millis: Column, step_ms: int) -> Column:
+def floor_to(millis: Column, step_ms: int) -> Column:
     return millis - F.pmod(millis, F.lit(step_ms))
 
 
 def tumbling_start(event_time: Column, size_ms: int) -> Column:
     """Start of the window holding ``event_time``, also before 1970."""
-    return F.timestamp_millis(_floor_to(F.unix_millis(event_time), size_ms))
+    return F.timestamp_millis(floor_to(F.unix_millis(event_time), size_ms))
 
 
 def newest_sliding_start(event_time: Column, slide_ms: int) -> Column:
@@ -32,11 +32,11 @@ def start_millis(
         return F.array(F.lit(None).cast("bigint"))
     millis = F.unix_millis(event_time)
     if window_type == "TUMBLING":
-        return F.array(_floor_to(millis, size_ms))
+        return F.array(floor_to(millis, size_ms))
     # The first aligned start after ``millis - size`` up to the last one not after ``millis``.
     return F.sequence(
-        _floor_to(millis - F.lit(size_ms), slide_ms) + F.lit(slide_ms),
-        _floor_to(millis, slide_ms),
+        floor_to(millis - F.lit(size_ms), slide_ms) + F.lit(slide_ms),
+        floor_to(millis, slide_ms),
         F.lit(slide_ms),
     )
 

@@ -1,12 +1,16 @@
 """All active declarations as one aggregation plan.
 
 Declarations that read the same event type, entity scope and window form a *group*. An event
-becomes one row per (group, window) it falls into, never one row per declaration, and the
-declarations of a group share that row as numbered *slots*. The shuffle therefore carries one
-row per (entity, group, window), already reduced on the map side, so a hot entity costs one
-row per map task.
+becomes one row per group it belongs to, never one row per declaration or per sliding window, and
+the declarations of a group share that row as numbered *slots*. Rows are reduced to *panes*: a
+tumbling window is one pane, a sliding one consists of panes as long as the greatest common divisor
+of size and slide. The shuffle carries one row per (entity, group, pane), already reduced on the map
+side, so a hot entity costs one row per map task.
 
-    scan -> explode groups -> explode windows -> partial agg -> exchange -> agg -> unpivot slots
+    scan -> explode groups -> partial agg -> exchange -> agg by pane -> unpivot slots
+
+Only where windows slide are panes spread over the windows they belong to, and merged once more.
+Every pane is then in ``size / slide`` windows, however many events it holds.
 
 A DISTINCT_COUNT declaration is a group of its own whose distinct value is part of the
 grouping key. Its values are spread over the cluster and counted in a second, small step;
@@ -15,6 +19,7 @@ no set of values is ever held in one place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,10 +30,12 @@ from tidemark.definitions import ANY_ENTITY, FeatureDefinition
 from tidemark.functions.fields import Resolver, compute_once, prepare_fields
 from tidemark.functions.filters import compile_filter
 from tidemark.functions.keys import key_problem
-from tidemark.functions.windows import start_millis, window_expiry
+from tidemark.functions.windows import floor_to, window_expiry
 
 # Slots per group row: wider rows save shuffled rows, but very wide ones leave codegen.
 MAX_SLOTS = 8
+# Windows to a pane from which on panes are brought together before they are spread.
+SPREAD = 8
 
 ENTITY_KEYS = ["entity_type", "entity_id"]
 FEATURE_KEYS = [*ENTITY_KEYS, "feature_name", "definition_version", "window_start"]
@@ -59,6 +66,15 @@ class Group:
     def is_distinct(self) -> bool:
         return self.members[0].aggregation == "DISTINCT_COUNT"
 
+    @property
+    def is_sliding(self) -> bool:
+        return self.window_type == "SLIDING" and self.window != self.slide
+
+    @property
+    def pane(self) -> int | None:
+        """Millis that are always in the same windows together; None without windows."""
+        return math.gcd(self.window, self.slide) if self.is_sliding else self.window
+
 
 def active_only(definitions: Sequence[FeatureDefinition]) -> list[FeatureDefinition]:
     return [d for d in definitions if d.state == "ACTIVE"]
@@ -240,31 +256,28 @@ def explode_groups(
     annotated: DataFrame,
     groups: Sequence[Group],
     carry: Sequence[str] = (),
-    with_starts: bool = True,
+    with_panes: bool = True,
 ) -> DataFrame:
-    """One row per (annotated event, group, window) with slot values and ``start_ms``.
+    """One row per (annotated event, group) with slot values and the start of its pane, ``start_ms``.
 
-    ``with_starts=False`` leaves the windows to the caller.
+    ``with_panes=False`` leaves the windows to the caller.
     """
     width = max(len(g.members) for g in groups)
     any_distinct = any(g.is_distinct for g in groups)
-    any_sliding = any(g.window_type == "SLIDING" for g in groups)
     rows = []
     for index, group in enumerate(groups):
         hit = F.lit(False)
         for i in group.positions:
             hit = hit | F.col(f"_m{i}")
         fields = [F.lit(index).alias("group_id")]
-        if with_starts:
-            starts = start_millis(
-                F.col("event_time"), group.window_type, group.window, group.slide
-            )
-            # Without sliding windows there is one start each: nothing left to explode.
-            fields.append(starts.alias("starts") if any_sliding else starts[0].alias("start_ms"))
+        if with_panes:
+            millis = F.unix_millis("event_time")
+            start = F.lit(None).cast("bigint") if group.pane is None else floor_to(millis, group.pane)
+            fields.append(start.alias("start_ms"))
         if any_distinct:
             fields.append(F.col(f"_dv{group.positions[0]}").alias("distinct_value"))
         rows.append(F.when(hit, F.struct(*fields, *_slots(group, width))))
-    exploded = (
+    return (
         annotated.select(
             F.col("entity.type").alias("entity_type"),
             F.col("entity.id").alias("entity_id"),
@@ -274,9 +287,30 @@ def explode_groups(
         .where(F.col("g").isNotNull())
         .select(*ENTITY_KEYS, *carry, "g.*")
     )
-    if with_starts and any_sliding:
-        exploded = exploded.select("*", F.explode("starts").alias("start_ms")).drop("starts")
-    return exploded
+
+
+def slide_panes(panes: DataFrame, groups: Sequence[Group]) -> DataFrame:
+    """Pane rows -> one row per window a pane belongs to, ``start_ms`` being the window's start.
+
+    With many windows to a pane, the panes are first brought together by stretches as long as their
+    window (never a whole entity), so that the rows of neighbouring panes merge before they move.
+    """
+
+    def of_group(values: Sequence[int | None]) -> Column:
+        return F.array(*[F.lit(v).cast("bigint") for v in values])[F.col("group_id")]
+
+    size = of_group([g.window if g.is_sliding else None for g in groups])
+    slide = of_group([g.slide if g.is_sliding else None for g in groups])
+    pane = F.col("start_ms")
+    if max(g.window // g.slide for g in groups if g.is_sliding) > SPREAD:
+        stretch = F.floor(pane / size).alias("stretch")
+        panes = panes.repartition(*ENTITY_KEYS, "group_id", stretch)
+    starts = F.when(size.isNull(), F.array(pane)).otherwise(
+        F.sequence(pane - size - F.pmod(pane - size, slide) + slide, pane - F.pmod(pane, slide), slide)
+    )
+    return panes.select(
+        *[c for c in panes.columns if c != "start_ms"], F.explode(starts).alias("start_ms")
+    )
 
 
 def slot_sums(width: int) -> list[Column]:
@@ -365,12 +399,10 @@ def partials(
     if "distinct_value" in exploded.columns:
         keys.append("distinct_value")
     width = max(len(g.members) for g in groups)
-    grouped = (
-        exploded.groupBy(*keys)
-        .agg(*slot_sums(width))
-        .withColumn("window_start", F.timestamp_millis("start_ms"))
-    )
-    return unpivot_slots(grouped, groups)
+    grouped = exploded.groupBy(*keys).agg(*slot_sums(width))
+    if any(g.is_sliding for g in groups):
+        grouped = slide_panes(grouped, groups).groupBy(*keys).agg(*slot_sums(width))
+    return unpivot_slots(grouped.withColumn("window_start", F.timestamp_millis("start_ms")), groups)
 
 
 def merge_partials(*parts: DataFrame) -> DataFrame:

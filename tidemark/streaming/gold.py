@@ -37,7 +37,7 @@ WATERMARK_MS = ALLOWED_LATENESS_MS + FUTURE_SKEW_MS
 
 
 def _branch(annotated: DataFrame, groups: Sequence[Group]) -> DataFrame:
-    exploded = explode_groups(annotated, groups, carry=("event_time",), with_starts=False)
+    exploded = explode_groups(annotated, groups, carry=("event_time",), with_panes=False)
     keys = [*ENTITY_KEYS, "group_id"]
     if "distinct_value" in exploded.columns:
         keys.append("distinct_value")

@@ -599,6 +599,14 @@ for _name, _feature_name in {
         with_(USER, f"f AS ({user_features()[_feature_name]})") + f"SELECT {COLUMNS} FROM f"
     )
 
+ORACLES["busiest_sliding"] = with_(
+    USER, f"f AS ({_feature('clicks_1d_1m', 'u', "event_type = 'click'", 'count(*)', 1440, 1)})"
+) + """
+SELECT entity_type, entity_id, count(*) AS windows, max(value) AS peak,
+       min(window_start) FILTER (WHERE value = top) AS peak_start, cast(sum(n) AS bigint) AS counted
+FROM (SELECT *, max(value) OVER (PARTITION BY entity_type, entity_id) AS top FROM f)
+GROUP BY 1, 2"""
+
 ORACLES["sum_tumbling"] = (
     with_(LOG, LOG_ARRIVED, f"f AS ({_feature('requests_1h', 'la', 'true', 'sum(cnt)', 60)})")
     + f"SELECT {COLUMNS} FROM f"

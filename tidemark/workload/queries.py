@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -567,6 +568,21 @@ for _query_name, _feature_name in (
     _feature_query(_query_name, _feature_name)
 
 
+@query
+def busiest_sliding(spark, sf_dir):
+    """Per user the busiest of all one-day windows that start at every minute, and how many there are."""
+    clicks = replace(feature("click_count_1h_15m"), name="clicks_1d_1m", window=24 * HOUR, slide=MINUTE)
+    rows = compute_features(views.user_events(spark, sf_dir), [clicks])
+    start = F.col("window_start")
+    first_peak = F.max_by("window_start", F.struct("value", (-F.unix_millis(start)).alias("at")))
+    return rows.groupBy("entity_type", "entity_id").agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.max("value").alias("peak"),
+        first_peak.alias("peak_start"),
+        F.sum("n").alias("counted"),
+    )
+
+
 @query
 def sum_tumbling(spark, sf_dir):
     from tidemark.definitions import FeatureDefinition
