@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tidemark.definitions import BUILT_IN_FEATURES
 from tidemark.operators import dedup
@@ -109,25 +110,24 @@ def sequential(rows, retention):
     return taken
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 1])
-def test_retention_chain(spark, fold_limit):
+def test_retention_chain(spark):
     rows = [("p-0", "e", h * HOUR, i) for i, h in enumerate((0, 5, 23, 24, 30, 47, 48, 100))]
     rows.append(("p-1", "e", 5 * HOUR, 99))
-    taken = dedup.markers(arrivals(spark, rows), 24 * HOUR, fold_limit)
+    taken = dedup.markers(arrivals(spark, rows), 24 * HOUR)
     got = sorted((r.namespace, r.marker_ms // HOUR) for r in taken.collect())
     assert got == [("p-0", 0), ("p-0", 24), ("p-0", 48), ("p-0", 100), ("p-1", 5)]
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 3])
-def test_markers_and_labels_against_a_sequential_worker(spark, fold_limit):
-    rng = random.Random(7)
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_markers_and_labels_against_a_sequential_worker(spark, seed):
+    rng = random.Random(seed)
     keys = ["hot"] * 12 + [f"k{i}" for i in range(8)]
     rows = [
         (f"p-{rng.randrange(2)}", rng.choice(keys), rng.randrange(-50, 90), seq)
         for seq in range(600)
     ]
     frame = arrivals(spark, rows)
-    taken = dedup.markers(frame, 20, fold_limit)
+    taken = dedup.markers(frame, 20)
     want = sequential(rows, 20)
     assert {tuple(r) for r in taken.collect()} == want
     labelled = dedup.label(frame, taken, 20).collect()
@@ -137,6 +137,29 @@ def test_markers_and_labels_against_a_sequential_worker(spark, fold_limit):
         assert (r.is_taken, r.is_duplicate) == (is_marker, not is_marker)
 
 
+def test_sparse_and_touching_arrivals_against_a_sequential_worker(spark):
+    """Gaps of exactly the retention, one less and one more; empty cells; stretches of all lengths."""
+    rng = random.Random(3)
+    rows, seq = [], 0
+    for key in range(30):
+        at = rng.randrange(-200, 200)
+        for _ in range(rng.randrange(1, 40)):
+            rows.append(("p-0", f"k{key}", at, seq))
+            at, seq = at + rng.choice([0, 1, 5, 9, 10, 10, 11, 19, 20, 21, 35]), seq + 1
+    taken = {tuple(r) for r in dedup.markers(arrivals(spark, rows), 10).collect()}
+    assert taken == sequential(rows, 10)
+
+
+def test_a_chain_of_a_thousand_retentions_takes_few_rounds(spark, monkeypatch):
+    rows = [("p-0", "hot", 6 * i, i) for i in range(2 * 1000)]  # a marker covers two of them
+    asked = []
+    is_empty = DataFrame.isEmpty
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda self: asked.append(1) or is_empty(self))
+    taken = {tuple(r) for r in dedup.markers(arrivals(spark, rows), 12).collect()}
+    assert taken == sequential(rows, 12) and len(taken) == 1000
+    assert len(asked) - 1 <= 12
+
+
 def test_expired_markers_are_not_live(spark):
     now = dt.datetime(2026, 8, 28, 12, 20)
     rows = spark.createDataFrame(

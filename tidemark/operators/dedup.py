@@ -2,32 +2,30 @@
 
 The first arrival of (namespace, event id) sets a marker that lives for ``retention``.
 Arrivals under a live marker are duplicates and do not prolong it, so which arrivals are
-taken depends on the whole chain before them. How a key is solved depends on its history:
+taken depends on the whole chain before them.
 
-* all arrivals within one retention: the first one is the marker. Plain min aggregates; this
-  is nearly every key, however many copies it has.
-* longer, at most ``fold_limit`` distinct arrivals: one fold over the sorted arrivals.
-* longer and larger: time is cut into cells as long as the retention. A cell holds at most
-  one marker, so the cells are swept in order with one min aggregate each; every arrival is
-  looked at once and no group is ever collected.
+An arrival that comes a retention or more after the one before it is taken whatever was before:
+such gaps split the arrivals of a key into stretches. A stretch shorter than the retention, which is
+nearly every key however many copies it has, is its first arrival: plain min aggregates. In a longer
+one every arrival points to its *successor*, the first arrival a retention or more later, and the
+markers are what is reached from the start. The pointers are doubled: a round joins the reached
+arrivals and the pointers with the pointers, so a chain of n markers takes log2(n) rounds.
+
+Gaps and successors are found by one ordered pass over cells as long as the retention: a successor
+lies in the next cell, or is the first arrival of the one behind it. A hot key is spread over its
+cells; no group holds more than the distinct arrival milliseconds of one retention.
 
 Positions are (arrival millis, seq); ``seq`` is the message offset, unique in its namespace.
 """
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
 RETENTION_MS = 24 * 3_600_000
-FOLD_LIMIT = 10_000
-_FILES_PER_CELL = 32
-_ROUNDS_PER_UNION = 64
 
 KEY = ["namespace", "event_id"]
 
@@ -48,7 +46,6 @@ def _positions(rows: DataFrame) -> DataFrame:
 
 def _key_spans(positions: DataFrame) -> DataFrame:
     return positions.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("arrivals"),
         F.min("arrival_ms").alias("first_ms"),
         F.min_by("seq", "arrival_ms").alias("first_seq"),
         F.max("arrival_ms").alias("last_ms"),
@@ -62,105 +59,99 @@ def first_arrivals(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fold(long_lived: DataFrame, retention_ms: int) -> DataFrame:
-    entry = "struct<arrival_ms: bigint, seq: bigint>"
-    taken = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("arrival_ms", "seq"))),
-        F.array().cast(f"array<{entry}>"),
-        lambda kept, x: F.when(
-            F.coalesce(
-                x["arrival_ms"]
-                >= F.try_element_at(kept, F.lit(-1))["arrival_ms"] + F.lit(retention_ms),
-                F.lit(True),
-            ),
-            F.concat(kept, F.array(x)),
-        ).otherwise(kept),
+def _stretches(positions: DataFrame, retention_ms: int) -> DataFrame:
+    """The starts of stretches (``from_ms`` is null) and the pointers to successors.
+
+    Columns: the key, ``from_ms``, ``to_ms``, ``to_seq``. In the ordered pass of a cell stand its
+    arrivals, the last arrival of the cell before, the first of the cell behind, and for every
+    arrival of the cell before the instant its marker expires.
+    """
+    retention = F.lit(retention_ms)
+    nothing = F.lit(None).cast("bigint")
+    at = F.struct(F.col("arrival_ms").alias("ms"), "seq")
+    cell = F.floor(F.col("arrival_ms") / retention)
+    no_arrival = F.lit(None).cast("struct<ms: bigint, seq: bigint>")
+    arrivals = positions.select(
+        *KEY,
+        F.inline(
+            F.array(
+                F.struct(
+                    cell.alias("cell"),
+                    F.col("arrival_ms").alias("ms"),
+                    F.lit(1).alias("kind"),
+                    at.alias("arrival"),
+                    nothing.alias("from_ms"),
+                ),
+                F.struct(
+                    (cell + 1).alias("cell"),
+                    (F.col("arrival_ms") + retention).alias("ms"),
+                    F.lit(0).alias("kind"),
+                    no_arrival.alias("arrival"),
+                    F.col("arrival_ms").alias("from_ms"),
+                ),
+            )
+        ),
     )
-    return (
-        long_lived.groupBy(*KEY)
-        .agg(taken.alias("taken"))
-        .select(*KEY, F.inline("taken").alias("marker_ms", "marker_seq"))
+    ends = positions.groupBy(*KEY, cell.alias("cell")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    around = ends.select(
+        *KEY,
+        F.inline(
+            F.array(
+                F.struct((F.col("cell") + 1).alias("cell"), F.col("last").alias("arrival")),
+                F.struct((F.col("cell") - 1).alias("cell"), F.col("first").alias("arrival")),
+            )
+        ),
+    ).select(*KEY, "cell", F.col("arrival.ms").alias("ms"), F.lit(2).alias("kind"), "arrival", nothing.alias("from_ms"))
+    in_order = Window.partitionBy(*KEY, "cell").orderBy("ms", "kind")
+    passed = arrivals.unionByName(around).select(
+        "*",
+        F.expr("lag(arrival) IGNORE NULLS").over(in_order).alias("before"),
+        F.expr("lead(arrival) IGNORE NULLS").over(in_order).alias("behind"),
+    )
+    starts = (F.col("kind") == 1) & F.coalesce(F.col("ms") - F.col("before.ms") >= retention, F.lit(True))
+    # A successor behind a gap starts a stretch of its own.
+    points = (F.col("kind") == 0) & (F.col("behind.ms") - F.col("before.ms") < retention)
+    to = F.when(F.col("kind") == 1, F.col("arrival")).otherwise(F.col("behind"))
+    return passed.where(starts | points).select(
+        *KEY, "from_ms", to["ms"].alias("to_ms"), to["seq"].alias("to_seq")
     )
 
 
-def _sweep(hot: DataFrame, retention_ms: int, cells: int) -> DataFrame:
-    """Cell by cell, the first arrival of each key that its newest marker does not cover.
-
-    The arrivals are written once, by cell, so a round reads its own cell only. What a round
-    leaves behind is one row per key; it is checkpointed, which also keeps the plans short.
-    """
-    spark = hot.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/arrivals-{uuid.uuid4()}"
-    cell = F.floor((F.col("arrival_ms") - F.col("first_ms")) / F.lit(retention_ms))
-    salt = F.pmod(F.hash("arrival_ms"), F.lit(_FILES_PER_CELL))
-    hot.withColumn("cell", cell).repartition("cell", salt).write.partitionBy("cell").parquet(
-        folder
-    )
-    arrivals = spark.read.parquet(folder)
-
-    taken = [
-        F.min("arrival_ms").alias("marker_ms"),
-        F.min_by("seq", "arrival_ms").alias("marker_seq"),
-    ]
-    first = arrivals.where(F.col("cell") == 0).groupBy(*KEY).agg(*taken)
-    state = first.withColumn("newest_ms", F.col("marker_ms")).checkpoint()
-    rounds = [state]
-    for number in range(1, cells):
-        newest = state.select(*KEY, "newest_ms")
-        found = (
-            arrivals.where(F.col("cell") == number)
-            .join(newest, KEY)
-            .where(F.col("arrival_ms") >= F.col("newest_ms") + F.lit(retention_ms))
-            .groupBy(*KEY)
-            .agg(*taken)
-        )
-        state = (
-            newest.join(found, KEY, "left")
-            .withColumn("newest_ms", F.coalesce("marker_ms", "newest_ms"))
+def _reached(stretches: DataFrame) -> DataFrame:
+    """(key, marker_ms, marker_seq): the starts and all that pointers lead to."""
+    marker = [F.col("to_ms").alias("marker_ms"), F.col("to_seq").alias("marker_seq")]
+    reached = stretches.where(F.col("from_ms").isNull()).select(*KEY, *marker)
+    pointers = stretches.where(F.col("from_ms").isNotNull())
+    while not pointers.isEmpty():
+        next_ones = pointers.withColumnRenamed("from_ms", "marker_ms")
+        found = reached.drop("marker_seq").join(next_ones, [*KEY, "marker_ms"]).select(*KEY, *marker)
+        # One start to a stretch, and pointers lead forward: nothing is reached twice.
+        reached = reached.unionByName(found).checkpoint()
+        further = pointers.select(*KEY, F.col("from_ms").alias("to_ms"), *[F.col(c).alias(f"far_{c}") for c in ("to_ms", "to_seq")])
+        pointers = (
+            pointers.drop("to_seq")
+            .join(further, [*KEY, "to_ms"])
+            .select(*KEY, "from_ms", F.col("far_to_ms").alias("to_ms"), F.col("far_to_seq").alias("to_seq"))
             .checkpoint()
         )
-        rounds.append(state)
-        if len(rounds) == _ROUNDS_PER_UNION:
-            rounds = [_swept(rounds).checkpoint()]
-    return _swept(rounds)
+    return reached
 
 
-def _swept(rounds: list[DataFrame]) -> DataFrame:
-    columns = [*KEY, "marker_ms", "marker_seq"]
-    found = [r.where(F.col("marker_ms").isNotNull()).select(*columns) for r in rounds]
-    return reduce(DataFrame.unionByName, found)
-
-
-def markers(
-    rows: DataFrame, retention_ms: int = RETENTION_MS, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def markers(rows: DataFrame, retention_ms: int = RETENTION_MS) -> DataFrame:
     """(namespace, event_id, marker_ms, marker_seq): every arrival that is taken.
 
-    Runs one small job first: it tells whether any key outlives its marker at all, and how
-    long the largest such keys live.
+    The distinct positions are checkpointed first, so that ``rows`` are read once; keys that
+    outlive their marker are then solved, in rounds logarithmic in their longest chain.
     """
-    positions = _positions(rows)
+    ensure_checkpoint_dir(rows.sparkSession)
+    positions = _positions(rows).checkpoint()
     spans = _key_spans(positions)
     outlives = F.col("last_ms") >= F.col("first_ms") + F.lit(retention_ms)
-    is_hot = outlives & (F.col("arrivals") > fold_limit)
-    lifetime = F.floor((F.col("last_ms") - F.col("first_ms")) / F.lit(retention_ms)) + 1
-    extent = spans.agg(
-        F.count_if(outlives).alias("long_lived"),
-        F.count_if(is_hot).alias("hot"),
-        F.max(F.when(is_hot, lifetime)).alias("cells"),
-    ).first()
-
-    taken = spans.where(~outlives).select(
+    short = spans.where(~outlives).select(
         *KEY, F.col("first_ms").alias("marker_ms"), F.col("first_seq").alias("marker_seq")
     )
-    if extent["long_lived"] > extent["hot"]:
-        some = spans.where(outlives & ~is_hot).select(*KEY)
-        taken = taken.unionByName(_fold(positions.join(some, KEY), retention_ms))
-    if extent["hot"]:
-        hot_keys = spans.where(is_hot).select(*KEY, "first_ms")
-        swept = _sweep(positions.join(hot_keys, KEY), retention_ms, int(extent["cells"]))
-        taken = taken.unionByName(swept)
-    return taken
+    long_lived = positions.join(spans.where(outlives).select(*KEY), KEY, "left_semi")
+    return short.unionByName(_reached(_stretches(long_lived, retention_ms).checkpoint()))
 
 
 def live_markers(taken: DataFrame, now: Column, retention_ms: int = RETENTION_MS) -> DataFrame:

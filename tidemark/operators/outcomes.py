@@ -59,13 +59,12 @@ def event_outcomes(
     *,
     allowed_ms: int = ALLOWED_LATENESS_MS,
     retention_ms: int = dedup.RETENTION_MS,
-    fold_limit: int = dedup.FOLD_LIMIT,
 ) -> DataFrame:
     """The events with ``outcome``, ``reason``, ``timing``, ``lag_ms``, ``late_accepted``."""
     checked = with_failure(assess(events, allowed_ms), definitions)
     on_time = F.col("problem").isNull() & (F.col("timing") != TOO_LATE)
     leaves_marker = checked.where(on_time & F.col("failure").isNull())
-    taken = dedup.markers(leaves_marker, retention_ms, fold_limit)
+    taken = dedup.markers(leaves_marker, retention_ms)
     labelled = dedup.label(checked, taken, retention_ms)
     outcome = (
         F.when(F.col("problem").isNotNull(), "invalid")

@@ -145,6 +145,26 @@ def _paths(definitions: Sequence[FeatureDefinition]) -> list[str]:
     return [path for path in found if path]
 
 
+def _parts(
+    events: DataFrame, definitions: Sequence[FeatureDefinition]
+) -> tuple[DataFrame, list[Contribution]]:
+    prepared, field = prepare_fields(events, _paths(definitions))
+    return prepared, [contribution(d, field) for d in definitions]
+
+
+def _verdict(definitions: Sequence[FeatureDefinition]) -> list[Column]:
+    """``supported`` and ``failure`` from the columns ``_m{i}`` and ``_problem{i}``."""
+    supported = F.lit(False)
+    for i in range(len(definitions)):
+        supported = supported | F.col(f"_m{i}")
+    bad_key = F.when(supported, key_problem(F.col("entity.type"), F.col("entity.id")))
+    problems = [F.col(f"_problem{i}") for i in range(len(definitions))]
+    return [
+        supported.alias("supported"),
+        F.coalesce(bad_key, *problems, F.lit(None).cast("string")).alias("failure"),
+    ]
+
+
 def annotate(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:
     """Events with what each active declaration makes of them.
 
@@ -153,10 +173,11 @@ def annotate(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> Dat
     problem a taking declaration has with it, or null). Every value is computed once per event.
     """
     active = active_only(definitions)
-    prepared, field = prepare_fields(events, _paths(active))
-    columns, problems, supported = [], [], F.lit(False)
-    for i, d in enumerate(active):
-        part = contribution(d, field)
+    if not active:
+        return events.select("*", *_verdict(active))
+    prepared, parts = _parts(events, active)
+    columns = []
+    for i, part in enumerate(parts):
         columns += [
             part.matches.alias(f"_m{i}"),
             part.num.alias(f"_num{i}"),
@@ -164,24 +185,24 @@ def annotate(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> Dat
             part.distinct_value.alias(f"_dv{i}"),
             part.problem.alias(f"_problem{i}"),
         ]
-        supported = supported | F.col(f"_m{i}")
-        problems.append(F.col(f"_problem{i}"))
-    if not active:
-        return events.withColumns({"supported": supported, "failure": F.lit(None).cast("string")})
     # Behind a barrier: later filters and explodes read plain columns. Otherwise every use of a
     # declaration's match copies its conditions, and the plan grows with each copy.
     made = compute_once(prepared, *columns)
-    bad_key = F.when(supported, key_problem(F.col("entity.type"), F.col("entity.id")))
-    verdict = compute_once(
-        made, supported.alias("supported"), F.coalesce(bad_key, *problems).alias("failure")
-    )
+    verdict = compute_once(made, *_verdict(active))
     kept = [f"{what}{i}" for i in range(len(active)) for what in ("_m", "_num", "_den", "_dv")]
     return verdict.select(*events.columns, *kept, "supported", "failure")
 
 
 def with_failure(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:
-    """Events with ``supported`` and ``failure`` only."""
-    return annotate(events, definitions).select(*events.columns, "supported", "failure")
+    """Events with ``supported`` and ``failure`` only: no value is read out, only judged."""
+    active = active_only(definitions)
+    if not active:
+        return events.select("*", *_verdict(active))
+    prepared, parts = _parts(events, active)
+    judged = [p.matches.alias(f"_m{i}") for i, p in enumerate(parts)]
+    judged += [p.problem.alias(f"_problem{i}") for i, p in enumerate(parts)]
+    verdict = compute_once(compute_once(prepared, *judged), *_verdict(active))
+    return verdict.select(*events.columns, "supported", "failure")
 
 
 def match_definitions(

@@ -26,13 +26,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset a folder in the warehouse is taken, which a cluster shares as well.
+    Where it is unset, as in tests, a local master takes a folder in the warehouse; on a cluster
+    that folder may be the driver's own, so there it must be set.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     context.setCheckpointDir(folder)
