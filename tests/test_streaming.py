@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.definitions import BUILT_IN_FEATURES
+from tidemark.operators import monitoring
 from tidemark.operators.outcomes import event_outcomes, reject_late
 from tidemark.plans.features import compute_features
 from tidemark.sources import registry
@@ -63,6 +66,77 @@ def test_outcomes_of_a_stream_equal_batch(spark, tmp_path):
     assert {"duplicate", "late", "processed"} <= {
         r.outcome for r in got.select("outcome").distinct().collect()
     }
+    # One row of counters per batch, over the restart.
+    counters = spark.read.parquet(f"{tmp_path}/out.counters")
+    assert counters.count() == 2
+    totals = silver.counter_totals(counters).first().asDict()
+    assert totals == monitoring.outcome_counts(spark.read.parquet(f"{tmp_path}/out")).first().asDict()
+
+
+def arrivals(spark, rows):
+    """Judged rows as ``write_batch`` gets them, of (event id, arrival hour, seq, leaves a marker)."""
+    frame = spark.createDataFrame(rows, "event_id string, hour bigint, seq bigint, leaves_marker boolean")
+    at = F.timestamp_millis(F.col("hour") * 3_600_000)
+    nothing = {"event_type": "string", "payload_json": "string", "timing": "string", "reason": "string"}
+    return frame.select(
+        F.lit("p-0").alias("namespace"),
+        "seq",
+        at.alias("arrival_time"),
+        "event_id",
+        *[F.lit(None).cast(t).alias(n) for n, t in nothing.items()],
+        at.alias("event_time"),
+        F.struct(F.lit("s").alias("type"), F.lit("e").alias("id")).alias("entity"),
+        F.lit(0).cast("bigint").alias("lag_ms"),
+        F.lit(False).alias("late_accepted"),
+        F.lit("processed").alias("verdict"),
+        F.lit(True).alias("dedup"),
+        "leaves_marker",
+    )
+
+
+def test_batches_against_a_sequential_worker(spark, tmp_path):
+    """Batches run again leave all tables as they are; markers end to the millisecond; old days go."""
+    rnd = random.Random(4)
+    path, seq, expiry, want, hour = f"{tmp_path}/out", 0, {}, {}, 0
+    for batch in range(6):
+        rows = []
+        for _ in range(60):
+            hour += rnd.choice([0, 0, 0, 1, 1, 2])
+            rows.append((rnd.choice(["hot", "hot", *(f"k{k}" for k in range(25))]), hour, seq, rnd.random() < 0.8))
+            seq += 1
+        for event_id, at, number, marks in rows:
+            want[number] = "duplicate" if at < expiry.get(event_id, -1) else "processed"
+            if marks and want[number] == "processed":
+                expiry[event_id] = at + 24
+        frame = arrivals(spark, rows)
+        silver.write_batch(frame, batch, path, compact_every=2)
+        if batch % 2:
+            before = {n: spark.read.parquet(f"{path}{n}").inputFiles() for n in ("", ".counters")}
+            silver.write_batch(frame, batch, path, compact_every=0)
+            assert before == {n: spark.read.parquet(f"{path}{n}").inputFiles() for n in before}
+        got = {r.seq: r.outcome for r in spark.read.parquet(path).select("seq", "outcome").collect()}
+        assert got == want
+    days = [int(p.name.split("=")[1]) for p in (tmp_path / "out.markers").glob("expiry_day=*")]
+    assert min(days) >= (hour - 120) // 24 and max(days) == max(expiry.values()) // 24
+    assert not list((tmp_path / "out.markers" / "_staging").glob("*"))
+    assert list((tmp_path / "out.markers").glob("expiry_day=*/batch_id=-*"))
+
+
+def test_counters_of_a_batch_whose_first_attempt_stopped(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    frame = arrivals(spark, [("a", 1, 1, True), ("a", 2, 2, True), ("b", 2, 3, True)])
+    silver.write_batch(frame, 0, path)
+    for part in ("out.counters/batch_id=0", "out.markers"):
+        (tmp_path / part).rename(tmp_path / f"lost-{part.replace('/', '-')}")
+    silver.write_batch(frame, 0, path)
+    totals = silver.counter_totals(spark.read.parquet(f"{path}.counters")).first()
+    assert (totals.received, totals.processed, totals.duplicate) == (3, 2, 1)
+    assert spark.read.parquet(f"{path}.markers").count() == 2
+
+
+def test_an_empty_batch(spark, tmp_path):
+    silver.write_batch(arrivals(spark, []), 0, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out.counters").first().received == 0
 
 
 def test_features_of_a_stream_equal_batch(spark, tmp_path):

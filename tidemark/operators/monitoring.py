@@ -29,8 +29,13 @@ def _counters() -> dict[str, Column]:
     }
 
 
+def outcome_counters() -> list[Column]:
+    """The counters of outcomes as named aggregates, for tables and for observed streams."""
+    return [c.alias(n) for n, c in _counters().items()]
+
+
 def outcome_counts(outcomes: DataFrame, *keys: str) -> DataFrame:
-    return outcomes.groupBy(*keys).agg(*[c.alias(n) for n, c in _counters().items()])
+    return outcomes.groupBy(*keys).agg(*outcome_counters())
 
 
 def outcome_rates(outcomes: DataFrame, window_ms: int = RATE_WINDOW_MS) -> DataFrame:
