@@ -2,11 +2,16 @@
 
 History is reduced once to five-minute sums per entity; the ten-minute windows and the totals
 are roll-ups of those few rows.
+
+Windows asked for by any start, aligned or not, are differences of running sums: the sums of all
+events of an entity before an instant are read at the two ends of a window, as of its start and as
+of its end. One ordered pass over ten-minute cells serves any number of lookups of an entity, each
+event and each lookup being passed once; no event ever meets a lookup in a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import tumbling_start
@@ -97,23 +102,19 @@ def windows(history: DataFrame, feature: str) -> DataFrame:
     return sums.select(*_feature_columns(feature, F.col("window_start")))
 
 
-def all_windows(history: DataFrame) -> DataFrame:
-    """Every window of every feature and the totals, from one scan of the history.
-
-    Each five-minute row feeds its own window, its ten-minute window and the total.
-    """
-    start = F.col("window_start")
-    levels = F.array(
+def _levels(start: Column) -> Column:
+    """The total, the five-minute and the ten-minute window that a five-minute row feeds."""
+    return F.array(
         F.struct(F.lit(0).alias("size_ms"), F.lit(None).cast("timestamp").alias("start")),
         F.struct(F.lit(FIVE_MINUTES).alias("size_ms"), start.alias("start")),
         F.struct(
             F.lit(TEN_MINUTES).alias("size_ms"), tumbling_start(start, TEN_MINUTES).alias("start")
         ),
     )
-    fed = five_minute_sums(history).select(
-        *ENTITY_KEYS, F.inline(levels), *_SUMS, "updated_at"
-    )
-    sums = _roll_up(fed, *ENTITY_KEYS, "size_ms", "start")
+
+
+def _features_of_size() -> Column:
+    """The features whose value the sums of one ``size_ms`` give; others are null."""
 
     def of(size_ms: int, feature: str) -> Column:
         return F.when(
@@ -121,13 +122,24 @@ def all_windows(history: DataFrame) -> DataFrame:
             F.struct(F.lit(feature).alias("feature_name"), feature_value(feature).alias("value")),
         )
 
-    features = F.array(of(0, TOTAL), *[of(size, name) for name, size in WINDOW_MS.items()])
+    return F.array(of(0, TOTAL), *[of(size, name) for name, size in WINDOW_MS.items()])
+
+
+def all_windows(history: DataFrame) -> DataFrame:
+    """Every window of every feature and the totals, from one scan of the history.
+
+    Each five-minute row feeds its own window, its ten-minute window and the total.
+    """
+    fed = five_minute_sums(history).select(
+        *ENTITY_KEYS, F.inline(_levels(F.col("window_start"))), *_SUMS, "updated_at"
+    )
+    sums = _roll_up(fed, *ENTITY_KEYS, "size_ms", "start")
     return (
         sums.select(
             *ENTITY_KEYS,
             F.col("start").alias("window_start"),
             "updated_at",
-            F.explode(features).alias("f"),
+            F.explode(_features_of_size()).alias("f"),
         )
         .where(F.col("f").isNotNull())
         .select(*ENTITY_KEYS, "f.feature_name", "window_start", "f.value", "updated_at")
@@ -142,32 +154,145 @@ def latest(rows: DataFrame) -> DataFrame:
     )
 
 
-def specific_windows(history: DataFrame, lookups: DataFrame, feature: str) -> DataFrame:
-    """Values of ``[window_start, window_start + size)`` for the asked starts, aligned or not.
+# As long as the longest window: a window lies in one cell or in two.
+_CELL_US = TEN_MINUTES * 1000
+
 
-    A start falls into at most two aligned windows, so each distinct lookup meets only the
-    events of those two: an equi-join on (entity, aligned window), then the exact range.
+def _bounds(asked: DataFrame) -> DataFrame:
+    """The reads an asked window (entity, ``start``, ``size_ms``) takes: (cell, instant, sign).
+
+    Sums run from the beginning of each cell. A window that ends in the cell after its own takes
+    what its own cell holds from its start on, and what the next holds up to its end.
     """
-    size = WINDOW_MS[feature]
-    start = F.unix_millis("window_start")
-    aligned = start - F.pmod(start, F.lit(size))
-    asked = (
-        lookups.where(F.col("window_start").isNotNull())
-        .select(*ENTITY_KEYS, "window_start")
-        .distinct()
-        .withColumn("aligned", F.explode(F.array(aligned, aligned + F.lit(size))))
-        .where(F.col("aligned") < start + F.lit(size))
+    begin = F.unix_micros("start")
+    end = begin + F.col("size_ms").cast("bigint") * 1000
+    cell = F.floor(begin / F.lit(_CELL_US))
+    cell_end = (cell + 1) * F.lit(_CELL_US)
+
+    def read(where: Column, at: Column, sign: int) -> Column:
+        return F.struct(where.alias("cell"), at.alias("at"), F.lit(sign).alias("sign"))
+
+    reads = F.array(
+        read(cell, begin, -1),
+        read(cell, F.least(end, cell_end), 1),
+        F.when(end > cell_end, read(cell + 1, end, 1)),
     )
-    millis = F.unix_millis("event_time")
-    events = history.withColumn("aligned", millis - F.pmod(millis, F.lit(size)))
-    begin, at = F.unix_micros("window_start"), F.unix_micros("event_time")
-    return (
-        events.join(asked, [*ENTITY_KEYS, "aligned"])
-        .where((at >= begin) & (at < begin + F.lit(size * 1000)))
-        .groupBy(*ENTITY_KEYS, "window_start")
+    found = asked.select(*ENTITY_KEYS, "start", "size_ms", F.explode(reads).alias("r"))
+    return found.where(F.col("r").isNotNull()).select(*ENTITY_KEYS, "start", "size_ms", "r.*")
+
+
+def _recomputed(history: DataFrame, asked: DataFrame, with_latest: bool) -> DataFrame:
+    """Sums of the asked windows (``asked_start`` set), and of all windows if ``with_latest``.
+
+    Columns: entity, ``size_ms``, ``start``, ``asked_start``, the sums and ``updated_at``. The
+    history is scanned once: its rows are reduced to five-minute sums and, in cells that are asked
+    for, to sums per instant, in one aggregate.
+    """
+    bounds = _bounds(asked)
+    cells = bounds.select(*ENTITY_KEYS, "cell").distinct().withColumn("is_asked", F.lit(True))
+    at = F.unix_micros("event_time")
+    located = history.withColumn("cell", F.floor(at / F.lit(_CELL_US))).join(
+        cells, [*ENTITY_KEYS, "cell"], "left" if with_latest else "inner"
+    )
+    five = F.unix_micros(tumbling_start(F.col("event_time"), FIVE_MINUTES))
+    nothing = F.lit(None).cast("bigint")
+
+    def role(cell: Column, instant: Column) -> Column:
+        return F.struct(cell.alias("cell"), instant.alias("at"))
+
+    # Without a cell: a five-minute row for the aligned windows, not for the ordered pass.
+    roles = [F.when(F.col("is_asked"), role(F.col("cell"), at))]
+    roles += [role(nothing, five)] if with_latest else []
+    moments = (
+        located.select("*", F.explode(F.array(*roles)).alias("role"))
+        .where(F.col("role").isNotNull())
+        .groupBy(*ENTITY_KEYS, "role")
         .agg(*_event_sums())
-        .select(*_feature_columns(feature, F.col("window_start")))
+        .select(*ENTITY_KEYS, "role.*", *_SUMS, "updated_at")
+    )
+    values = [*_SUMS, "updated_at"]
+    kinds = {f.name: f.dataType for f in moments.schema if f.name in values}
+    events = moments.select(
+        *ENTITY_KEYS,
+        "cell",
+        "at",
+        F.lit(1).alias("kind"),
+        *values,
+        F.lit(None).cast("timestamp").alias("start"),
+        F.lit(None).cast("int").alias("size_ms"),
+        F.lit(None).cast("int").alias("sign"),
+    )
+    reads = bounds.select(
+        *ENTITY_KEYS,
+        "cell",
+        "at",
+        F.lit(0).alias("kind"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in values],
+        "start",
+        F.col("size_ms").cast("int").alias("size_ms"),
+        "sign",
+    )
+    # A five-minute row is a group of its own.
+    group = [*ENTITY_KEYS, "cell", F.when(F.col("cell").isNull(), F.col("at"))]
+    so_far = Window.partitionBy(*group).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    running = events.unionByName(reads).select(
+        *ENTITY_KEYS,
+        "cell",
+        "at",
+        "start",
+        "size_ms",
+        "sign",
+        *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in _SUMS],
+        F.max("updated_at").over(so_far).alias("updated_at"),
+    )
+    sign, is_read = F.col("sign"), F.col("sign").isNotNull()
+    # Of the newest event before the end of the window only counts what is not before its start.
+    newest = F.when((sign > 0) & (F.col("updated_at") >= F.col("start")), F.col("updated_at"))
+    answered = F.array(
+        F.struct(
+            "size_ms",
+            "start",
+            F.col("start").alias("asked_start"),
+            *[(F.col(c) * sign).alias(c) for c in _SUMS],
+            newest.alias("updated_at"),
+        )
+    )
+    aligned = F.transform(
+        _levels(F.timestamp_micros("at")),
+        lambda level: F.struct(
+            level["size_ms"].alias("size_ms"),
+            level["start"].alias("start"),
+            F.lit(None).cast("timestamp").alias("asked_start"),
+            *[F.col(c) for c in _SUMS],
+            F.col("updated_at"),
+        ),
     )
+    fed = running.select(
+        *ENTITY_KEYS,
+        F.explode(F.when(is_read, answered).when(F.col("cell").isNull(), aligned)).alias("w"),
+    ).select(*ENTITY_KEYS, "w.*")
+    return _roll_up(fed, *ENTITY_KEYS, "size_ms", "start", "asked_start").where(F.col("events") > 0)
+
+
+def _asked(lookups: DataFrame, *features: str) -> DataFrame:
+    """The distinct windows that lookups of these features name."""
+    size = F.coalesce(*[F.when(F.col("feature_name") == f, F.lit(WINDOW_MS[f])) for f in features])
+    return (
+        lookups.where(F.col("window_start").isNotNull())
+        .select(*ENTITY_KEYS, F.col("window_start").alias("start"), size.alias("size_ms"))
+        .where(F.col("size_ms").isNotNull())
+        .distinct()
+    )
+
+
+def specific_windows(history: DataFrame, lookups: DataFrame, feature: str) -> DataFrame:
+    """Values of ``[window_start, window_start + size)`` for the asked starts, aligned or not.
+
+    Every lookup counts, whatever feature it may name.
+    """
+    asked = _asked(lookups.withColumn("feature_name", F.lit(feature)), feature)
+    sums = _recomputed(history, asked, with_latest=False)
+    return sums.select(*_feature_columns(feature, F.col("start")))
 
 
 def read_baseline(
@@ -183,26 +308,20 @@ def read_baseline(
     Latest reads report the window they found; the total has no windows, so asking it for
     one finds nothing.
     """
-    found = latest(all_windows(history)).select(
-        *ENTITY_KEYS,
-        "feature_name",
-        F.lit(None).cast("timestamp").alias("asked_start"),
-        F.col("window_start").alias("found_start"),
-        "value",
-        "updated_at",
+    wanted = lookups.select(*ENTITY_KEYS).distinct()
+    sums = _recomputed(history.join(wanted, ENTITY_KEYS, "left_semi"), _asked(lookups, *WINDOW_MS), True)
+    rows = (
+        sums.select("*", F.explode(_features_of_size()).alias("f"))
+        .where(F.col("f").isNotNull())
+        .select(*ENTITY_KEYS, "f.*", "start", "asked_start", "updated_at")
+    )
+    # An asked window is alone under its start; of the others the newest is read.
+    order = F.coalesce(F.unix_millis("start"), F.lit(-(2**62)))
+    found = rows.groupBy(*ENTITY_KEYS, "feature_name", "asked_start").agg(
+        F.max_by("start", order).alias("found_start"),
+        F.max_by("value", order).alias("value"),
+        F.max_by("updated_at", order).alias("updated_at"),
     )
-    for feature in WINDOW_MS:
-        asked = lookups.where(F.col("feature_name") == feature)
-        found = found.unionByName(
-            specific_windows(history, asked, feature).select(
-                *ENTITY_KEYS,
-                "feature_name",
-                F.col("window_start").alias("asked_start"),
-                F.col("window_start").alias("found_start"),
-                "value",
-                "updated_at",
-            )
-        )
     keys = [*ENTITY_KEYS, "feature_name"]
     right = found.select(
         *[F.col(c).alias(f"b_{c}") for c in [*keys, "asked_start"]],
