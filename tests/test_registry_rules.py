@@ -1,5 +1,6 @@
 """The registry check and the builder agree, and many filtered declarations stay cheap to plan."""
 
+import random
 import time
 
 import pytest
@@ -17,7 +18,9 @@ from tidemark.workload import views
 SMALL = "/root/testdata/sf0.001"
 
 TEXTS = """PT0.5S PT1,25S PT-0.5S -PT0.5S P1DT P1D PT PT10M 10m 250ms 0m ten PT1H30M PT0.0001S P1DT2H PT1.5M
-    P-1DT25H PT2.123456789S""".split()
+    P-1DT25H PT2.123456789S 9223372036854775807d 9223372036854775807ms 9223372036854775808ms
+    PT9223372036854775807H PT-9223372036854775808S P106751991167DT99999999999H -P99999999999999999999D
+    PT9223372036854775.999S 106751991167d""".split()
 
 
 def test_durations_agree(spark):
@@ -32,7 +35,32 @@ def test_durations_agree(spark):
             assert column[text] == want, text
 
 
-@pytest.mark.parametrize("window, name", [("PT0.5S", "a"), ("P1DT", "a"), ("PT10M", "a:b"), ("PT10M", "a")])
+def test_any_text_is_judged_alike(spark):
+    """No text ends the job, and both forms agree on each."""
+    rnd = random.Random(11)
+    parts = ["P", "T", "-", "+", "1", "0", "9" * 18, "9" * 19, "7", "D", "H", "M", "S", "MS", ".", ",", "5", " "]
+    made = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 8))) for _ in range(3000)]
+    number = lambda: rnd.choice(["0", "1", "-3", "+7", "9" * 15, "9" * 17, "9" * 20])
+    made += [
+        rnd.choice(["", "-"]) + "P" + rnd.choice(["", number() + "D"]) + rnd.choice(["", "T" + number() + rnd.choice("HMS")])
+        for _ in range(1000)
+    ]
+    made += [rnd.choice(["1", "9" * 12, "9" * 18, "9" * 30]) + rnd.choice(["ms", "s", "M", "h", "d"]) for _ in range(100)]
+    rows = spark.createDataFrame([(t,) for t in set(made)], "text string")
+    for text, millis in rows.select("text", registry.duration_millis(F.col("text"))).collect():
+        try:
+            want = parse_duration(text)
+        except ValueError:
+            assert millis is None or millis < 1, text
+        else:
+            assert millis == want, text
+
+
+@pytest.mark.parametrize(
+    "window, name",
+    [("PT0.5S", "a"), ("P1DT", "a"), ("PT10M", "a:b"), ("PT10M", "a")]
+    + [(w, "a") for w in ("9223372036854775807d", "PT9223372036854775807H", "106751991167d", "52000000d")],
+)
 def test_check_and_builder_agree(spark, window, name):
     row = FeatureDefinition("x", "click", "COUNT", "user", window_type="TUMBLING", window="1m").as_row()
     fields = [f.name for f in schemas_of()]

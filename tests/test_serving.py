@@ -117,3 +117,31 @@ def test_registry_lifecycle(spark):
     assert states(registry.upsert(table, saves)) == {("f", 1): "INACTIVE", ("f", 2): "ACTIVE"}
     assert states(registry.save_drafts(active, saves))[("f", 2)] == "DRAFT"
     assert registry.load_active(active) == [v2.with_state("ACTIVE")]
+
+
+def test_computed_reads_equal_reads_of_the_whole_table(spark):
+    """Unasked declarations still refuse events; unasked features, kinds and entities are not computed."""
+    from conftest import SMALL
+    from tidemark.plans.features import compute_features
+    from tidemark.workload import views
+
+    events = views.user_events(spark, SMALL)
+    events = views.variant_events(
+        events,
+        F.concat(F.lit('{"value": '), F.when(F.col("seq") % 3 == 0, F.lit('"x"')).otherwise(F.lit("7")), F.lit(', "k": 2}')),
+    )
+    now = views.instant("2024-01-12 00:00:00")
+    table = serving.serving_rows(compute_features(events, views.USER_FEATURES), views.USER_FEATURES)
+    asks = {
+        "mixed": [("user", f"u-{i}", n, None) for i in range(5) for n in ("avg_value_1d", "purchase_value_total", "none")]
+        + [("user", f"u-{i}", "click_count_10m", dt.datetime(2024, 1, 11, 23, 50)) for i in range(5)],
+        "windows": [("user", f"u-{i}", "avg_value_1d", dt.datetime(2024, 1, d)) for i in range(20) for d in (3, 11, 12)],
+        "unknown": [("user", "u-1", "none", None)],
+    }
+    for kind, rows in asks.items():
+        lookups = spark.createDataFrame(rows, "entity_type string, entity_id string, feature_name string, window_start timestamp")
+        want = serving.read_features(lookups, table, now).collect()
+        read = serving.read_computed(lookups, events, views.USER_FEATURES, now)
+        assert sorted(map(str, read.collect())) == sorted(map(str, want)), kind
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and "click_count_1h_15m" not in plan

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from tidemark.functions.durations import format_duration, parse_duration
+from tidemark.functions.durations import MAX_MS, format_duration, parse_duration
 
 ANY_ENTITY = "*"
 
@@ -114,6 +114,8 @@ class FeatureDefinition:
             raise DefinitionError(str(error)) from error
         if self.window_type == "SLIDING" and slide > size:
             raise DefinitionError("slide must not be larger than the window")
+        if size + slide > MAX_MS:
+            raise DefinitionError("window and slide are too long for the expiry of values")
         object.__setattr__(self, "window", size)
         object.__setattr__(self, "slide", slide)
 

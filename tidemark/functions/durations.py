@@ -4,33 +4,38 @@ from __future__ import annotations
 
 import re
 
-_UNIT_MS = {"ms": 1, "s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
-_COMPACT = re.compile(r"([1-9]\d*)(ms|s|m|h|d)")
-_ISO = re.compile(
-    r"(?P<sign>[-+])?P(?:(?P<d>[-+]?\d+)D)?"
-    r"(?P<time>T(?:(?P<h>[-+]?\d+)H)?(?:(?P<m>[-+]?\d+)M)?(?:(?P<s>[-+]?\d+)(?:[.,](?P<f>\d{1,9}))?S)?)?"
+# The units of durations, in milliseconds, and the two forms of their text.
+UNIT_MS = {"ms": 1, "s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
+COMPACT = r"([1-9]\d*)(MS|S|M|H|D)"
+ISO = (
+    r"([-+]?)P(?:([-+]?\d+)D)?"
+    r"(?:T(?!$)(?:([-+]?\d+)H)?(?:([-+]?\d+)M)?(?:([-+]?\d+)(?:[.,](\d{1,9}))?S)?)?"
 )
+BLANKS = " \t\n\x0b\f\r"
+# The longest window and slide together: about 29,000 years, well within timestamps.
+MAX_MS = 1 << 53
+LONG = 1 << 63
 
 
 def parse_duration(text: str | None) -> int:
     """``PT10M`` / ``10m`` / ``250ms`` -> milliseconds; anything not positive is refused."""
     if text is None or not text.strip():
         raise ValueError("duration must not be blank")
-    compact = text.strip().lower()
-    hit = _COMPACT.fullmatch(compact)
-    if hit:
-        return int(hit.group(1)) * _UNIT_MS[hit.group(2)]
-    iso = _ISO.fullmatch(compact.upper())
-    if not iso or not any(iso.group(part) for part in "dhms") or iso.group("time") == "T":
-        raise ValueError(f"not an ISO-8601 or compact duration: {text!r}")
-    millis = sum(int(iso.group(part) or 0) * _UNIT_MS[part] for part in "dhms")
-    if iso.group("f"):
-        fraction = int(iso.group("f").ljust(9, "0")[:3])
-        millis += -fraction if iso.group("s").startswith("-") else fraction
-    if iso.group("sign") == "-":
-        millis = -millis
-    if millis < 1:
-        raise ValueError(f"duration must be at least one millisecond: {text!r}")
+    upper = text.strip(BLANKS).upper()
+    if hit := re.fullmatch(COMPACT, upper, re.ASCII):
+        millis = int(hit[1]) * UNIT_MS[hit[2].lower()]
+    else:
+        iso = re.fullmatch(ISO, upper, re.ASCII)
+        if not iso or not any(iso.group(2, 3, 4, 5)):
+            raise ValueError(f"not an ISO-8601 or compact duration: {text!r}")
+        millis = sum(int(digits or 0) * UNIT_MS[unit] for digits, unit in zip(iso.group(2, 3, 4, 5), "dhms"))
+        if iso[6]:
+            fraction = int(iso[6].ljust(9, "0")[:3])
+            millis += -fraction if iso[5].startswith("-") else fraction
+        if iso[1] == "-":
+            millis = -millis
+    if not 1 <= millis < LONG:
+        raise ValueError(f"duration must be at least one millisecond and fit a long: {text!r}")
     return millis
 
 

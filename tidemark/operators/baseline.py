@@ -36,15 +36,24 @@ WINDOW_MS = {EVENT_COUNT: TEN_MINUTES, ERROR_RATE: TEN_MINUTES, LATENCY: FIVE_MI
 _SUMS = ("events", "requests", "errors", "latency")
 
 
-def _event_sums() -> list[Column]:
+def _values() -> dict[str, Column]:
+    """What one event adds to the sums."""
     failed = F.col("status_code") >= 500
-    return [
-        F.count(F.lit(1)).alias("events"),
-        F.sum("count_value").alias("requests"),
-        F.sum(F.when(failed, F.col("count_value")).otherwise(0)).alias("errors"),
-        F.sum(F.col("latency_ms") * F.col("count_value")).alias("latency"),
-        F.max("event_time").alias("updated_at"),
-    ]
+    return {
+        "events": F.lit(1).cast("bigint"),
+        "requests": F.col("count_value"),
+        "errors": F.when(failed, F.col("count_value")).otherwise(0),
+        "latency": F.col("latency_ms") * F.col("count_value"),
+    }
+
+
+def _event_values() -> list[Column]:
+    return [*[v.alias(n) for n, v in _values().items()], F.col("event_time").alias("updated_at")]
+
+
+def _event_sums() -> list[Column]:
+    sums = [F.sum(v).alias(n) for n, v in _values().items()]
+    return [*sums, F.max("event_time").alias("updated_at")]
 
 
 def _roll_up(sums: DataFrame, *keys: str) -> DataFrame:
@@ -182,35 +191,43 @@ def _bounds(asked: DataFrame) -> DataFrame:
 
 
 def _recomputed(history: DataFrame, asked: DataFrame, with_latest: bool) -> DataFrame:
-    """Sums of the asked windows (``asked_start`` set), and of all windows if ``with_latest``.
+    """Sums of the asked windows (``is_asked``), and of all windows if ``with_latest``.
 
-    Columns: entity, ``size_ms``, ``start``, ``asked_start``, the sums and ``updated_at``. The
-    history is scanned once: its rows are reduced to five-minute sums and, in cells that are asked
-    for, to sums per instant, in one aggregate.
+    Columns: entity, ``size_ms``, ``start``, ``is_asked``, the sums and ``updated_at``. The
+    history is scanned once: its rows are reduced to five-minute sums and, between the first and the
+    last instant asked for, to sums per instant, in one aggregate.
     """
     bounds = _bounds(asked)
-    cells = bounds.select(*ENTITY_KEYS, "cell").distinct().withColumn("is_asked", F.lit(True))
+    # A few instants per entity prune more cheaply than all asked cells would.
+    spans = bounds.groupBy(*ENTITY_KEYS).agg(F.min("at").alias("from_us"), F.max("at").alias("to_us"))
     at = F.unix_micros("event_time")
-    located = history.withColumn("cell", F.floor(at / F.lit(_CELL_US))).join(
-        cells, [*ENTITY_KEYS, "cell"], "left" if with_latest else "inner"
+    within = (at >= F.col("from_us")) & (at < F.col("to_us"))
+    located = history.join(spans, ENTITY_KEYS, "left" if with_latest else "inner").select(
+        *[F.col(c) for c in history.columns],
+        F.floor(at / F.lit(_CELL_US)).alias("cell"),
+        F.coalesce(within, F.lit(False)).alias("is_asked"),
     )
+    if not with_latest:
+        located = located.where(F.col("is_asked"))
     five = F.unix_micros(tumbling_start(F.col("event_time"), FIVE_MINUTES))
     nothing = F.lit(None).cast("bigint")
 
     def role(cell: Column, instant: Column) -> Column:
         return F.struct(cell.alias("cell"), instant.alias("at"))
 
-    # Without a cell: a five-minute row for the aligned windows, not for the ordered pass.
-    roles = [F.when(F.col("is_asked"), role(F.col("cell"), at))]
-    roles += [role(nothing, five)] if with_latest else []
-    moments = (
-        located.select("*", F.explode(F.array(*roles)).alias("role"))
-        .where(F.col("role").isNotNull())
-        .groupBy(*ENTITY_KEYS, "role")
-        .agg(*_event_sums())
-        .select(*ENTITY_KEYS, "role.*", *_SUMS, "updated_at")
-    )
     values = [*_SUMS, "updated_at"]
+    if with_latest:
+        # Without a cell: a five-minute row for the aligned windows, not for the ordered pass.
+        roles = F.array(F.when(F.col("is_asked"), role(F.col("cell"), at)), role(nothing, five))
+        moments = (
+            located.select("*", F.explode(roles).alias("role"))
+            .where(F.col("role").isNotNull())
+            .groupBy(*ENTITY_KEYS, "role")
+            .agg(*_event_sums())
+            .select(*ENTITY_KEYS, "role.*", *values)
+        )
+    else:
+        moments = located.select(*ENTITY_KEYS, "cell", at.alias("at"), *_event_values())
     kinds = {f.name: f.dataType for f in moments.schema if f.name in values}
     events = moments.select(
         *ENTITY_KEYS,
@@ -232,8 +249,10 @@ def _recomputed(history: DataFrame, asked: DataFrame, with_latest: bool) -> Data
         F.col("size_ms").cast("int").alias("size_ms"),
         "sign",
     )
-    # A five-minute row is a group of its own.
-    group = [*ENTITY_KEYS, "cell", F.when(F.col("cell").isNull(), F.col("at"))]
+    group = [*ENTITY_KEYS, "cell"]
+    if with_latest:
+        # A five-minute row is a group of its own.
+        group.append(F.when(F.col("cell").isNull(), F.col("at")))
     so_far = Window.partitionBy(*group).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     running = events.unionByName(reads).select(
         *ENTITY_KEYS,
@@ -252,7 +271,7 @@ def _recomputed(history: DataFrame, asked: DataFrame, with_latest: bool) -> Data
         F.struct(
             "size_ms",
             "start",
-            F.col("start").alias("asked_start"),
+            F.lit(True).alias("is_asked"),
             *[(F.col(c) * sign).alias(c) for c in _SUMS],
             newest.alias("updated_at"),
         )
@@ -262,7 +281,7 @@ def _recomputed(history: DataFrame, asked: DataFrame, with_latest: bool) -> Data
         lambda level: F.struct(
             level["size_ms"].alias("size_ms"),
             level["start"].alias("start"),
-            F.lit(None).cast("timestamp").alias("asked_start"),
+            F.lit(False).alias("is_asked"),
             *[F.col(c) for c in _SUMS],
             F.col("updated_at"),
         ),
@@ -271,7 +290,7 @@ def _recomputed(history: DataFrame, asked: DataFrame, with_latest: bool) -> Data
         *ENTITY_KEYS,
         F.explode(F.when(is_read, answered).when(F.col("cell").isNull(), aligned)).alias("w"),
     ).select(*ENTITY_KEYS, "w.*")
-    return _roll_up(fed, *ENTITY_KEYS, "size_ms", "start", "asked_start").where(F.col("events") > 0)
+    return _roll_up(fed, *ENTITY_KEYS, "size_ms", "start", "is_asked").where(F.col("events") > 0)
 
 
 def _asked(lookups: DataFrame, *features: str) -> DataFrame:
@@ -313,7 +332,13 @@ def read_baseline(
     rows = (
         sums.select("*", F.explode(_features_of_size()).alias("f"))
         .where(F.col("f").isNotNull())
-        .select(*ENTITY_KEYS, "f.*", "start", "asked_start", "updated_at")
+        .select(
+            *ENTITY_KEYS,
+            "f.*",
+            "start",
+            F.when(F.col("is_asked"), F.col("start")).alias("asked_start"),
+            "updated_at",
+        )
     )
     # An asked window is alone under its start; of the others the newest is read.
     order = F.coalesce(F.unix_millis("start"), F.lit(-(2**62)))

@@ -6,7 +6,7 @@ A serving table holds one row per key text: one per live window, and one *latest
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from tidemark.definitions import ANY_ENTITY, FeatureDefinition
 from tidemark.functions.keys import feature_key
 from tidemark.functions.values import parse_value, value_text
 from tidemark.functions.windows import add_millis, window_expiry
-from tidemark.plans.features import ENTITY_KEYS, active_only
+from tidemark.plans.features import ENTITY_KEYS, active_only, compute_features
 
 STALE_AFTER_MS = 5 * 60_000
 READ_KEYS = ["entity_type", "entity_id", "feature_name"]
@@ -53,9 +53,18 @@ def _integral(definitions: Sequence[FeatureDefinition]) -> Column:
 
 
 def serving_rows(
-    features: DataFrame, definitions: Sequence[FeatureDefinition]
+    features: DataFrame,
+    definitions: Sequence[FeatureDefinition],
+    *,
+    latest: Collection[str] | None = None,
+    windows: Collection[str] | None = None,
 ) -> DataFrame:
-    """Feature rows -> serving table: windows that expire, plus latest rows that do not."""
+    """Feature rows -> serving table: windows that expire, plus latest rows that do not.
+
+    ``latest`` and ``windows`` name the features whose rows of that kind are wanted; by default all.
+    """
+    if latest is not None and not latest:
+        return _window_rows(features, definitions)
     # Every row stands for itself and competes to be the latest: one pass, one shuffle of the
     # (already aggregated) feature rows.
     nothing = F.lit(None).cast("timestamp")
@@ -64,11 +73,15 @@ def serving_rows(
         F.col("window_start").isNotNull(),
         F.struct(F.col("window_start").alias("slot"), F.col("expires_at").alias("expiry")),
     )
-    latest = F.struct(nothing.alias("slot"), nothing.alias("expiry"))
+    newest = F.struct(nothing.alias("slot"), nothing.alias("expiry"))
+    if windows is not None:
+        itself = F.when(F.col("feature_name").isin(sorted(windows)), itself)
+    if latest is not None:
+        newest = F.when(F.col("feature_name").isin(sorted(latest)), newest)
     picked = ("value", "updated_at", "definition_version", "expiry")
     return (
         current_versions(features, definitions)
-        .select("*", F.explode(F.array(itself, latest)).alias("stand"))
+        .select("*", F.explode(F.array(itself, newest)).alias("stand"))
         .where(F.col("stand").isNotNull())
         .select(*READ_KEYS, "stand.*", order.alias("rank"), *picked[:3])
         .groupBy(*READ_KEYS, "slot")
@@ -84,6 +97,19 @@ def serving_rows(
     )
 
 
+def _window_rows(features: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:
+    """The windows of a serving table alone: feature rows as they are."""
+    windowed = current_versions(features, definitions).where(F.col("window_start").isNotNull())
+    return windowed.select(
+        *READ_KEYS,
+        "window_start",
+        value_text(_integral(definitions), F.col("value")).alias("value_text"),
+        "updated_at",
+        "definition_version",
+        "expires_at",
+    )
+
+
 def with_key(serving: DataFrame) -> DataFrame:
     key = feature_key(
         F.col("entity_type"), F.col("entity_id"), F.col("feature_name"), F.col("window_start")
@@ -209,6 +235,47 @@ def read_features(
     )
 
 
+def read_computed(
+    lookups: DataFrame,
+    events: DataFrame,
+    definitions: Sequence[FeatureDefinition],
+    now: Column,
+    *,
+    checked: bool = False,
+    registry: DataFrame | None = None,
+    stale_ms: int = STALE_AFTER_MS,
+) -> DataFrame:
+    """``read_features`` of what ``events`` amount to, computed for the lookups alone.
+
+    A first job over the lookups tells which declared features they name, and whether by window or
+    for the latest value (one row per declaration at most). Only these are aggregated, over events
+    of the entities asked for.
+    """
+    by_window = F.col("window_start").isNotNull()
+    names = sorted({d.name for d in active_only(definitions)})
+    asked = (
+        lookups.where(F.col("feature_name").isin(names))
+        .groupBy("feature_name")
+        .agg(F.bool_or(by_window).alias("windows"), F.bool_or(~by_window).alias("latest"))
+        .collect()
+    )
+    entities = lookups.select(*ENTITY_KEYS).distinct()
+    mine = events.join(
+        entities,
+        (F.col("entity.type") == F.col("entity_type")) & (F.col("entity.id") == F.col("entity_id")),
+        "left_semi",
+    )
+    wanted = {r["feature_name"] for r in asked} or set(names[:1])
+    features = compute_features(mine, definitions, checked=checked, names=wanted)
+    table = serving_rows(
+        features,
+        [d for d in definitions if d.name in wanted],
+        latest={r["feature_name"] for r in asked if r["latest"]},
+        windows={r["feature_name"] for r in asked if r["windows"]},
+    )
+    return read_features(lookups, table, now, registry=registry, stale_ms=stale_ms)
+
+
 def entity_lookups(entities: DataFrame, feature_names: Sequence[str]) -> DataFrame:
     """The same features for many entities, in request order."""
     names = F.array(*[F.lit(n) for n in feature_names])

@@ -20,7 +20,7 @@ no set of values is ever held in one place.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -165,31 +165,33 @@ def _verdict(definitions: Sequence[FeatureDefinition]) -> list[Column]:
     ]
 
 
-def annotate(events: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:
+def annotate(
+    events: DataFrame,
+    definitions: Sequence[FeatureDefinition],
+    names: Collection[str] | None = None,
+) -> DataFrame:
     """Events with what each active declaration makes of them.
 
     Adds, for the i-th active declaration, ``_m{i}`` (does it take the event), ``_num{i}``,
     ``_den{i}``, ``_dv{i}``; and ``supported`` (any takes it) and ``failure`` (the first
-    problem a taking declaration has with it, or null). Every value is computed once per event.
+    problem a taking declaration has with it, or null). Every value is computed once per event;
+    with ``names``, values only of declarations so named.
     """
     active = active_only(definitions)
     if not active:
         return events.select("*", *_verdict(active))
     prepared, parts = _parts(events, active)
-    columns = []
+    columns, kept = [], []
     for i, part in enumerate(parts):
-        columns += [
-            part.matches.alias(f"_m{i}"),
-            part.num.alias(f"_num{i}"),
-            part.den.alias(f"_den{i}"),
-            part.distinct_value.alias(f"_dv{i}"),
-            part.problem.alias(f"_problem{i}"),
-        ]
+        columns += [part.matches.alias(f"_m{i}"), part.problem.alias(f"_problem{i}")]
+        if names is None or active[i].name in names:
+            values = {"_num": part.num, "_den": part.den, "_dv": part.distinct_value}
+            columns += [value.alias(f"{what}{i}") for what, value in values.items()]
+            kept += [f"{what}{i}" for what in ("_m", *values)]
     # Behind a barrier: later filters and explodes read plain columns. Otherwise every use of a
     # declaration's match copies its conditions, and the plan grows with each copy.
     made = compute_once(prepared, *columns)
     verdict = compute_once(made, *_verdict(active))
-    kept = [f"{what}{i}" for i in range(len(active)) for what in ("_m", "_num", "_den", "_dv")]
     return verdict.select(*events.columns, *kept, "supported", "failure")
 
 
@@ -234,13 +236,17 @@ def _wanted_types(definitions: Sequence[FeatureDefinition]) -> list[str]:
 
 
 def group_definitions(
-    definitions: Sequence[FeatureDefinition], max_slots: int = MAX_SLOTS
+    definitions: Sequence[FeatureDefinition],
+    max_slots: int = MAX_SLOTS,
+    names: Collection[str] | None = None,
 ) -> list[Group]:
-    """Active declarations by shared event scope and window, at most ``max_slots`` each."""
+    """Active declarations (of these names) by shared event scope and window, ``max_slots`` each."""
     buckets: dict[tuple, list[int]] = {}
     groups: list[Group] = []
     active = active_only(definitions)
     for i, d in enumerate(active):
+        if names is not None and d.name not in names:
+            continue
         scope = (d.event_type, d.entity_type, d.window_type, d.window, d.slide)
         if d.aggregation == "DISTINCT_COUNT":
             groups.append(Group(*scope, (i,), (d,)))
@@ -402,17 +408,20 @@ def partials(
     *,
     checked: bool = False,
     max_slots: int = MAX_SLOTS,
+    names: Collection[str] | None = None,
 ) -> DataFrame:
-    """Mergeable state of every active declaration over these events.
+    """Mergeable state of every active declaration (of these names) over these events.
 
-    An event any matching declaration cannot use is invalid and adds nothing; pass
-    ``checked=True`` when such events are gone already.
+    An event any matching declaration cannot use is invalid and adds nothing, also to those not
+    named; pass ``checked=True`` when such events are gone already.
     """
-    groups = group_definitions(definitions, max_slots)
+    if checked and names is not None:
+        definitions = [d for d in definitions if d.name in names]
+    groups = group_definitions(definitions, max_slots, names)
     if not groups:
         raise ValueError("no active feature definition")
-    wanted = events.where(F.col("event_type").isin(_wanted_types(definitions)))
-    annotated = annotate(wanted, definitions)
+    wanted = events.where(F.col("event_type").isin(sorted({g.event_type for g in groups})))
+    annotated = annotate(wanted, definitions, names)
     if not checked:
         annotated = annotated.where(F.col("failure").isNull())
     exploded = explode_groups(annotated, groups)
@@ -499,7 +508,12 @@ def compute_features(
     *,
     checked: bool = False,
     max_slots: int = MAX_SLOTS,
+    names: Collection[str] | None = None,
 ) -> DataFrame:
-    """Feature rows of every active declaration, in one scan and one event-sized shuffle."""
-    state = partials(events, definitions, checked=checked, max_slots=max_slots)
-    return finish(state, definitions)
+    """Feature rows of every active declaration, in one scan and one event-sized shuffle.
+
+    ``names`` asks for some of them only; the others then cost no values and no rows.
+    """
+    state = partials(events, definitions, checked=checked, max_slots=max_slots, names=names)
+    asked = [d for d in definitions if names is None or d.name in names]
+    return finish(state, asked)

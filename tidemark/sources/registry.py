@@ -21,6 +21,7 @@ from tidemark.definitions import (
     WINDOW_TYPES,
     FeatureDefinition,
 )
+from tidemark.functions.durations import BLANKS, COMPACT, ISO, MAX_MS, UNIT_MS
 
 IDENTITY = ["name", "version"]
 
@@ -157,39 +158,32 @@ def summary(registry: DataFrame, *keys: str) -> DataFrame:
 
 
 def duration_millis(text: Column) -> Column:
-    """ISO or compact duration text as milliseconds; null if it is neither.
+    """ISO or compact duration text as milliseconds; null if it is neither, or beyond a long.
 
     The column form of ``tidemark.functions.durations.parse_duration``, without the check
     that it is positive.
     """
-    upper = F.upper(F.trim(text))
-    iso = (
-        r"^([-+]?)P(?:([-+]?\d+)D)?"
-        r"(?:T(?!$)(?:([-+]?\d+)H)?(?:([-+]?\d+)M)?(?:([-+]?\d+)(?:[.,](\d{1,9}))?S)?)?$"
-    )
-    scale = (86_400_000, 3_600_000, 60_000, 1_000)
+    upper = F.upper(F.trim(text, F.lit(BLANKS)))
+    by_unit = F.create_map(*[F.lit(x) for unit in UNIT_MS.items() for x in unit])
+
+    def part(pattern: str, group: int, unit: Column | str) -> Column:
+        """Digits of a group times their unit; 0 where there are none, null where they are too many."""
+        digits = F.regexp_extract(upper, pattern, group)
+        factor = by_unit[F.lit(unit) if isinstance(unit, str) else F.lower(unit)].cast("bigint")
+        return F.when(digits == "", F.lit(0)).otherwise(F.try_multiply(digits.try_cast("bigint"), factor))
+
     total = F.lit(0).cast("bigint")
-    for group, unit in enumerate(scale, start=2):
-        part = F.regexp_extract(upper, iso, group).try_cast("bigint")
-        total = total + F.coalesce(part, F.lit(0)) * F.lit(unit)
+    for group, unit in enumerate("dhms", start=2):
+        total = F.try_add(total, part(f"^{ISO}$", group, unit))
     # Whole milliseconds of the fraction, with the sign of the seconds.
-    fraction = F.substring(F.rpad(F.regexp_extract(upper, iso, 6), 9, "0"), 1, 3).try_cast("bigint")
-    backwards = F.regexp_extract(upper, iso, 5).startswith("-")
-    total = total + F.coalesce(F.when(backwards, -fraction).otherwise(fraction), F.lit(0))
-    sign = F.when(F.regexp_extract(upper, iso, 1) == "-", -1).otherwise(1)
-    compact = r"^([1-9]\d*)(MS|S|M|H|D)$"
-    amount = F.regexp_extract(upper, compact, 1).try_cast("bigint")
-    unit = F.regexp_extract(upper, compact, 2)
-    factor = (
-        F.when(unit == "MS", 1)
-        .when(unit == "S", 1_000)
-        .when(unit == "M", 60_000)
-        .when(unit == "H", 3_600_000)
-        .when(unit == "D", 86_400_000)
-    )
-    has_part = upper.rlike(r"\d[DHMS]")
-    return F.when(upper.rlike(compact), amount * factor).when(
-        upper.rlike(iso) & has_part, sign * total
+    fraction = F.substring(F.rpad(F.regexp_extract(upper, f"^{ISO}$", 6), 9, "0"), 1, 3).try_cast("bigint")
+    backwards = F.regexp_extract(upper, f"^{ISO}$", 5).startswith("-")
+    fraction = F.coalesce(F.when(backwards, -fraction).otherwise(fraction), F.lit(0))
+    sign = F.when(F.regexp_extract(upper, f"^{ISO}$", 1) == "-", -1).otherwise(1)
+    compact = part(f"^{COMPACT}$", 1, F.regexp_extract(upper, f"^{COMPACT}$", 2))
+    return F.when(upper.rlike(f"^{COMPACT}$"), compact).when(
+        upper.rlike(f"^{ISO}$") & upper.rlike(r"\d[DHMS]"),
+        F.try_multiply(sign, F.try_add(total, fraction)),
     )
 
 
@@ -247,5 +241,10 @@ def invalid(registry: DataFrame) -> DataFrame:
             "bad_slide",
         ),
         F.when((F.col("window_type") == "SLIDING") & (slide > size), "slide_too_long"),
+        # A value expires a window and a slide after it was written.
+        F.when(
+            ~unwindowed & (F.coalesce(F.try_add(size, F.coalesce(slide, size)), F.lit(MAX_MS + 1)) > MAX_MS),
+            "window_too_long",
+        ),
     )
     return registry.withColumn("reason", reason).where(F.col("reason").isNotNull())

@@ -680,7 +680,7 @@ def read_point(spark, sf_dir):
     ).distinct()
     # A clock inside the data: windows of later writes are still readable, older have expired.
     now = instant("1998-07-01 00:00:00")
-    return serving.read_features(lookups, _serving(spark, sf_dir), now).select(
+    return serving.read_computed(lookups, log, BUILT_IN_FEATURES, now).select(
         "entity_id", "window_start", "value", "status", "ttl_seconds"
     )
 
@@ -739,9 +739,10 @@ def _batch_lookups(spark, sf_dir) -> DataFrame:
 
 @query
 def read_batch(spark, sf_dir):
-    return serving.read_features(
+    return serving.read_computed(
         _batch_lookups(spark, sf_dir),
-        _serving(spark, sf_dir),
+        views.request_log(spark, sf_dir),
+        BUILT_IN_FEATURES,
         instant("2000-01-02 00:00:00"),
         registry=_registry(spark, sf_dir),
     ).drop("value_text")
