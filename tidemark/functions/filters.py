@@ -20,9 +20,8 @@ _COMPARE = {
     "LT": operator.lt,
     "LTE": operator.le,
 }
-_DECIMAL_LITERAL = re.compile(
-    r"\s*([-+]?(?:NaN|Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?))[fFdD]?\s*"
-)
+# Fixed value: the text of numbers, as filter values may write them.
+DECIMAL_LITERAL = r"\s*([-+]?(?:NaN|Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?))[fFdD]?\s*"
 
 
 @dataclass(frozen=True)
@@ -34,7 +33,7 @@ class CompiledFilter:
 
 
 def _literal_number(text: str) -> float | None:
-    number = _DECIMAL_LITERAL.fullmatch(text)
+    number = re.fullmatch(DECIMAL_LITERAL, text)
     return float(number.group(1)) if number else None
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def floor_to(millis: Column, step_ms: int) -> Column:
-    return millis - F.pmod(millis, F.lit(step_ms))
+def floor_to(millis: Column, step_ms: int | Column) -> Column:
+    step = F.lit(step_ms) if isinstance(step_ms, int) else step_ms
+    return millis - F.pmod(millis, step)
 
 
 def tumbling_start(event_time: Column, size_ms: int) -> Column:

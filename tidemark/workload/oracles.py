@@ -979,3 +979,13 @@ SELECT count(*) AS entries,
          AS key_bytes,
        cast(sum(strlen(state)) AS bigint) AS value_bytes
 FROM i"""
+
+# --- declarations as rows -----------------------------------------------------------------------
+
+ORACLES["declared_matches"] = ORACLES["match_definitions"]
+ORACLES["declared_features"] = with_(USER) + f"""
+SELECT entity_type, entity_id, event_type || '_over_' || cast(10 * i AS varchar) AS feature_name,
+       CASE WHEN i % 4 = 1 THEN {bucket(7 * 1440)} END AS window_start,
+       cast(round(CASE WHEN i % 2 = 1 THEN count(*) ELSE sum(value) END, 6) AS double) AS value,
+       count(*) AS n
+FROM u, range(20) t(i) WHERE value > 10 * i GROUP BY entity_type, entity_id, event_type, i, 4"""

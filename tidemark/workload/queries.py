@@ -22,6 +22,7 @@ from tidemark.functions.windows import (
 from tidemark.operators import baseline, dedup, measurements, monitoring, parity, serving
 from tidemark.operators.checks import ingestion_lag_ms, timing, with_problem
 from tidemark.operators.outcomes import accepted, event_outcomes, reject_late
+from tidemark.plans.declared import compute_declared, match_declared
 from tidemark.plans.features import (
     compute_features,
     finish,
@@ -631,6 +632,21 @@ def user_features_all(spark, sf_dir):
     )
 
 
+@query
+def declared_features(spark, sf_dir):
+    """A hundred filtered declarations, read from registry rows instead of compiled into the plan."""
+    registry = registry_source.registry_table(spark, views.THRESHOLD_FEATURES)
+    return compute_declared(views.user_events(spark, sf_dir), registry).select(*FEATURE_COLUMNS, "n")
+
+
+@query
+def declared_matches(spark, sf_dir):
+    registry = registry_source.registry_table(spark, views.USER_FEATURES)
+    return match_declared(views.user_events(spark, sf_dir), registry).select(
+        "event_id", "feature_name", "definition_version"
+    )
+
+
 @query
 def bad_values(spark, sf_dir):
     """Why a matching declaration cannot use an event."""

@@ -85,6 +85,22 @@ USER_FEATURES = (
 )
 
 
+# Twenty thresholds on each of the five event types, as declarations of a registry table.
+THRESHOLD_FEATURES = tuple(
+    FeatureDefinition(
+        f"{kind}_over_{10 * step}",
+        kind,
+        "COUNT" if step % 2 else "SUM",
+        "user",
+        value_field="value",
+        filter=FieldFilter("value", "GT", str(10 * step)),
+        **({"window_type": "TUMBLING", "window": "7d"} if step % 4 == 1 else {}),
+    )
+    for kind in ("click", "error", "purchase", "signup", "view")
+    for step in range(20)
+)
+
+
 def feature(name: str) -> FeatureDefinition:
     return next(d for d in USER_FEATURES if d.name == name)
 
