@@ -52,14 +52,11 @@ class WordBuckets(dict):
         return value
 
 
-_BUCKETS = WordBuckets()
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their values."""
+def features(text: str | None, known: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their values. ``known`` is the memory of a task and ends with it."""
     words = words_of(text)
     words += [w[:n] + b"-" for n in PREFIXES for w in words if len(w) > n]
-    found = np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words))
+    found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     bucket, count = np.unique(found, return_counts=True)
     return bucket, 1 + np.log(count)
 
@@ -73,9 +70,9 @@ class OrdinalModel:
     weights: np.ndarray  # one a bucket, shared by all thresholds
     thresholds: np.ndarray  # ascending, one less than grades
 
-    def score(self, text: str | None) -> tuple[float, float]:
+    def score(self, text: str | None, known: WordBuckets) -> tuple[float, float]:
         """(expected severity, probability of any toxicity)."""
-        bucket, value = features(text)
+        bucket, value = features(text, known)
         above = sigmoid(float(self.weights[bucket] @ value) - self.thresholds)
         return float(above.sum()), float(above[0])
 
@@ -128,7 +125,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES) ->
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, grade) of at most ``sample`` labelled documents, the smallest hashes of doc_id."""
+    """(text, grade) of at most ``sample`` labelled documents, the smallest hashes of doc_id.
+
+    Of repeated rows of a doc_id the smallest text counts, so the bound holds.
+    """
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 1, 1).otherwise(2)
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
@@ -137,12 +137,15 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
+    known = WordBuckets()
+
     def make(columns: list[pa.Array]) -> list:
-        made = [features(x.as_py()) for x in columns[0]]
+        made = [features(x.as_py(), known) for x in columns[0]]
         return [[b.tolist() for b, _ in made], [v.tolist() for _, v in made]]
 
     kinds = {"bucket": T.ArrayType(T.IntegerType()), "value": T.ArrayType(T.FloatType())}
@@ -155,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``p_toxic`` and ``toxic``."""
+    known = WordBuckets()
     used = np.flatnonzero(model.weights)
     values, thresholds = model.weights[used], model.thresholds
 
@@ -162,7 +166,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text: str = "text") ->
         weights = np.zeros(BUCKETS)
         weights[used] = values
         own = OrdinalModel(weights, thresholds)
-        scores = [own.score(x.as_py()) for x in columns[0]]
+        scores = [own.score(x.as_py(), known) for x in columns[0]]
         return [[s for s, _ in scores], [p for _, p in scores], [p >= 0.5 for _, p in scores]]
 
     kinds = {"severity": T.DoubleType(), "p_toxic": T.DoubleType(), "toxic": T.BooleanType()}
