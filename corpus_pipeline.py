@@ -2,14 +2,15 @@
 
 Toxic documents go, then exact copies, near copies and documents that hold a benchmark passage; what
 is left is encoded. Of copies and near copies one row stays, also where rows are repeated or have no
-doc_id. Every stage but the last returns the columns of ``documents``; each works on all
-rows the one before it kept, which are written in between.
+doc_id. Every stage but the last returns the columns of ``documents``, whatever they are called; each
+works on all rows the one before it kept, which are written in between. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import decode, encode
@@ -20,13 +21,30 @@ from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.toxicity import score_toxicity, train
 
 
+def shielded(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns but doc_id and text renamed.
+
+    An operator replaces columns named like its own; a stage hands the columns of documents through.
+    """
+    return docs.select(
+        *[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"`{c}`").alias(f"documents_{c}") for c in docs.columns]
+    )
+
+
+def kept_rows(found: DataFrame, docs: DataFrame, keep: Column | str) -> DataFrame:
+    """The columns of ``docs`` of the rows to keep, ``found`` being made from ``shielded(docs)``."""
+    return found.where(keep).select(
+        *[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"`documents_{c}`").alias(c) for c in docs.columns]
+    )
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("not toxic").select(*docs.columns)
+    return kept_rows(score_toxicity(shielded(docs), model), docs, "not toxic")
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a key of its own for every row, and the key's name.
+    """``shielded(docs)`` with a key of its own for every row, and the key's name.
 
     Keys sort by doc_id (null last), then by the place of the row in the files of ``docs``, which
     stays the same however often they are read. What is not read from files is written first.
@@ -35,7 +53,8 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
     def with_key(rows: DataFrame) -> DataFrame:
         place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        return rows.withColumn(key, F.struct(F.isnull("doc_id").alias("none"), "doc_id", *place))
+        place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", *place).alias(key)
+        return shielded(rows.withColumn(key, place)).withColumnRenamed(f"documents_{key}", key)
 
     try:
         return with_key(docs), key
@@ -45,18 +64,18 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
-    return exact_dedup(rows, key=key).where("kept").select(*docs.columns)
+    return kept_rows(exact_dedup(rows, key=key), docs, "kept")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class stays."""
     rows, key = keyed(docs)
-    return near_duplicates(rows, key=key).where(F.col("class_id").eqNullSafe(F.col(key))).select(*docs.columns)
+    return kept_rows(near_duplicates(rows, key=key), docs, F.col("class_id").eqNullSafe(F.col(key)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("size(hit_spans) = 0").select(*docs.columns)
+    found = decontaminate(shielded(docs), table(spark, sf_dir, "benchmark"))
+    return kept_rows(found, docs, "size(hit_spans) = 0")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
