@@ -24,3 +24,14 @@ def test_overlaps_over_several_ranges():
     found = overlaps(sets, np.arange(80), np.arange(80, 200))
     for i, j in [(0, 0), (7, 50), (79, 119)]:
         assert found[i, j] == len(np.intersect1d(sets[i], sets[80 + j]))
+
+
+def test_a_worker_forgets_other_operators():
+    from tidemark.llm import common
+    from tidemark.llm.shingles import HASHES, word_hashes
+
+    first = word_hashes([b"a", b"b"])
+    common.forget_others("tidemark.llm.jaccard_join")
+    assert len(HASHES) >= 2
+    common.forget_others("tidemark.llm.toxicity")
+    assert not HASHES and (word_hashes([b"a", b"b"]) == first).all()

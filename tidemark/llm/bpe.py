@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hex_sha, table, with_rows
+from tidemark.llm.common import hex_sha, remembered, table, with_rows
 
 # Fixed value: how byte-level BPE of this family cuts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -266,6 +266,10 @@ def offset_table(file: str) -> Offsets:
     return Offsets(file)
 
 
+remembered(vocabulary.cache_clear, __name__)
+remembered(offset_table.cache_clear, __name__)
+
+
 def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ids: str = "token_ids") -> DataFrame:
     """``docs`` with the token ids of each whole text."""
     file = Path(tokenizer or default_tokenizer()).read_text("utf-8")

@@ -77,6 +77,22 @@ def replacing(frame: DataFrame, columns: dict[str, T.DataType]) -> T.StructType:
     return T.StructType(kept + [T.StructField(n, t) for n, t in columns.items()])
 
 
+# What Python workers remember from task to task: (modules that use it, how to forget it).
+_MEMORIES: list[tuple[tuple[str, ...], Callable[[], None]]] = []
+
+
+def remembered(forget: Callable[[], None], *modules: str) -> None:
+    """Have ``forget`` called when a worker turns to an operator of none of these modules."""
+    _MEMORIES.append((modules, forget))
+
+
+def forget_others(module: str) -> None:
+    """Workers outlive stages: they keep the memories of the operator at work only."""
+    for modules, forget in _MEMORIES:
+        if module not in modules:
+            forget()
+
+
 def with_rows(
     frame: DataFrame, columns: dict[str, T.DataType], make: Callable[[list[pa.Array]], list], *inputs: str
 ) -> DataFrame:
@@ -92,6 +108,7 @@ def with_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        forget_others(make.__module__)
         types = [to_arrow_type(t) for t in lists.values()]
         for batch in batches:
             for part in pieces(batch, inputs):

@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import complete_groups, fresh, group_bounds, small, table, with_rows, written
+from tidemark.llm.common import complete_groups, forget_others, fresh, group_bounds, small, table, with_rows, written
 from tidemark.llm.components import Joined, components
-from tidemark.llm.shingles import HASHES, mix, shingles, word_hashes, words_of
+from tidemark.llm.shingles import mix, shingles, word_hashes, words_of
 
 WORDS, THRESHOLD = 5, 0.8
 # Branches that two sets at the threshold share on average on each level of a run, at least.
@@ -164,7 +164,7 @@ def bucket_edges(buckets: DataFrame, block: int, least: int) -> DataFrame:
     """(a, b) edges that join the members of each bucket with ``least`` equal sketch values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        HASHES.clear()  # a worker may hold those of an earlier stage
+        forget_others("")  # comparing needs no words
         for rows in complete_groups(batches, ["path", "left", "right"]):
             sid = rows["sid"].to_numpy()
             left, right, part = (rows[c].to_numpy() for c in ("left", "right", "part"))
@@ -232,7 +232,7 @@ def exact_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        HASHES.clear()
+        forget_others("")
         for rows in complete_groups(batches, ["cluster", "left", "right"], 1 << 11):
             sid, weight = rows["sid"].to_numpy(), rows["weight"].to_numpy()
             left, right, part = (rows[c].to_numpy() for c in ("left", "right", "part"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tidemark.llm.common import remembered
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xD6E8FEB86659FD93)
 
@@ -22,6 +24,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+remembered(HASHES.clear, *(f"tidemark.llm.{n}" for n in ("jaccard_join", "importance", "substring_dedup", "anchored")))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
