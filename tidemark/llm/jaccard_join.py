@@ -153,7 +153,7 @@ def pairs_within(bounds: np.ndarray, part: np.ndarray, left: np.ndarray, right:
             i, j = np.repeat(a, len(b)), np.tile(b, len(a))
         held.append((i + start, j + start))
         count += len(i)
-        if count >= 1 << 19:
+        if count >= 1 << 18:
             yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held, count = [], 0
     if count:
@@ -173,9 +173,9 @@ def bucket_edges(buckets: DataFrame, block: int, least: int) -> DataFrame:
             joined = Joined(len(sid))
             for i, j in pairs_within(bounds, part, left, right):
                 alike = np.zeros(len(i), bool)
-                for at in range(0, len(i), 1 << 17):
-                    x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-                    alike[at : at + (1 << 17)] = (sketch[x] == sketch[y]).sum(axis=1) >= least
+                for at in range(0, len(i), 1 << 14):
+                    x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    alike[at : at + (1 << 14)] = (sketch[x] == sketch[y]).sum(axis=1) >= least
                 joined.link(i[alike], j[alike])
             moved = joined.moved()
             yield pa.RecordBatch.from_arrays(
@@ -194,9 +194,9 @@ def bucket_edges(buckets: DataFrame, block: int, least: int) -> DataFrame:
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets numbered ``rows`` with those numbered ``columns``.
 
-    Sets are sorted hashes; ranges of about two million of them are counted at a time.
+    Sets are sorted hashes; ranges of about half a million of them are counted at a time.
     """
-    ranges = 1 + (sum(map(len, sets)) >> 21)
+    ranges = 1 + (sum(map(len, sets)) >> 19)
     edges = np.array([2**64 * k // ranges for k in range(1, ranges)], np.uint64)
     cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]).astype(np.int64) for s in sets]
     count = np.zeros((len(rows), len(columns)), np.float32)
@@ -215,7 +215,7 @@ def range_overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray
     count = np.zeros((len(rows), len(columns)), np.float32)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    width = max(1, (1 << 23) // max(1, len(sets)))
+    width = max(1, (1 << 21) // max(1, len(sets)))
     for first in range(0, int(token.max(initial=-1)) + 1, width):
         a, b = np.searchsorted(token, [first, first + width])
         has = np.zeros((len(sets), width), np.float32)
@@ -233,7 +233,7 @@ def exact_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("")
-        for rows in complete_groups(batches, ["cluster", "left", "right"], 1 << 11):
+        for rows in complete_groups(batches, ["cluster", "left", "right"], 1 << 9):
             sid, weight = rows["sid"].to_numpy(), rows["weight"].to_numpy()
             left, right, part = (rows[c].to_numpy() for c in ("left", "right", "part"))
             sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
