@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -93,6 +95,15 @@ def forget_others(module: str) -> None:
             forget()
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: an idle worker keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def with_rows(
     frame: DataFrame, columns: dict[str, T.DataType], make: Callable[[list[pa.Array]], list], *inputs: str
 ) -> DataFrame:
@@ -117,6 +128,8 @@ def with_rows(
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), *made], names=[*kept, *lists]
                 )
+            batch = part = made = None
+        give_back()
 
     return frame.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import complete_groups, forget_others, fresh, group_bounds, small, table, with_rows, written
+from tidemark.llm.common import complete_groups, forget_others, fresh, give_back, group_bounds, small, table, with_rows, written
 from tidemark.llm.components import Joined, components
 from tidemark.llm.shingles import mix, shingles, word_hashes, words_of
 
@@ -181,6 +181,7 @@ def bucket_edges(buckets: DataFrame, block: int, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sid[joined.label[moved]]), pa.array(sid[moved])], names=["a", "b"]
             )
+        give_back()
 
     return (
         blocked(buckets, "path", "sid", block)
@@ -264,6 +265,7 @@ def exact_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
                 [pa.array(sid), pa.array(texts), pa.array(docs), pa.array(sid[joined.label])],
                 names=["sid", "texts", "docs", "label"],
             )
+        give_back()
 
     return (
         blocked(members, "cluster", "sid", block)
