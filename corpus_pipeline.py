@@ -78,8 +78,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept_rows(found, docs, "size(hit_spans) = 0")
 
 
+# Rows of an Arrow batch in the last stage, where two Python workers stand one behind the other.
+BATCH_ROWS = "1000"
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and whether they decode to the text again."""
+    """Token ids, and whether they decode to the text again.
+
+    Sets the session's rows per Arrow batch: whole texts and their ids wait in each of two workers.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return decode(encode(docs)).select(
         "doc_id",
         "source",
