@@ -40,6 +40,36 @@ def test_history_written_once_and_pruned(spark, tmp_path):
     assert scan.count() == want.count() > 0
 
 
+def test_batches_appended_once(spark, tmp_path):
+    """Redelivered ids, a batch run again, and a batch whose first run stopped before the rename."""
+    path = f"{tmp_path}/history"
+    schema = "event_id string, event_time timestamp, source string, event_date_note string"
+    day = [dt.datetime(2024, 1, d, 12) for d in range(1, 6)]
+
+    def batch(*rows):
+        return spark.createDataFrame([(i, t, s, None) for i, t, s in rows], schema)
+
+    first = batch(("a", day[0], "x"), ("a", day[0], "w"), ("b", day[1], "x"), (None, day[1], "x"))
+    order = ["event_time", "source"]
+    assert history.append_batch(first, path, 0, order)
+    assert not history.append_batch(first, path, 0, order)
+    (tmp_path / "history" / "_staging" / "1").mkdir(parents=True)
+    second = batch(("a", day[0], "late"), ("b", day[1], "x"), ("c", day[2], "x"), ("c", day[3], "x"))
+    assert history.append_batch(second, path, 1, order, copies_keep_day=True)
+    assert history.append_batch(second, path, 2, order)
+    assert history.append_batch(batch(), path, 3, order, copies_keep_day=True)
+    kept = sorted((r.event_id or "", r.source) for r in history.read_history(spark, path).collect())
+    assert kept == [("", "x"), ("a", "w"), ("b", "x"), ("c", "x")]
+
+
+def test_first_rows_are_ranked_on_both_sides_of_the_shuffle(spark):
+    rows = history.history_rows(views.user_events(spark, SMALL))
+    plan = history.new_rows(rows, rows.limit(5), ["event_time", "event_json"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("WindowGroupLimit") >= 2
+    assert plan.count() == rows.count() - 5
+
+
 def stored(spark, rows):
     """History rows of (entity id, micros, count, status, latency)."""
     frame = spark.createDataFrame(rows, "entity_id string, us bigint, count_value bigint, status_code int, latency_ms bigint")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.fields import resolve
 from tidemark.functions.values import to_long
 from tidemark.sources.events import encode_events
+from tidemark.streaming.batches import Folder, publish
 
 DEFAULT_PHASE = "measurement"
 
@@ -43,19 +45,17 @@ def new_rows(
 ) -> DataFrame:
     """Rows of ``batch`` an idempotent append adds: first per new event id.
 
-    Copies of an id are reduced on the map side, so a much-repeated id stays cheap.
+    Stored ids leave before copies are looked at. Then the first row per id is kept by rank, on the
+    map side too (Spark limits each group before the shuffle), so a much-repeated id moves as one
+    row per task and no row is packed into an aggregation buffer.
     """
-    order = F.struct(*[F.col(c) for c in order_by])
-    others = [c for c in batch.columns if c != "event_id"]
-    first = (
-        batch.groupBy("event_id")
-        .agg(F.min_by(F.struct(*others), order).alias("row"))
-        .select("event_id", "row.*")
-        .select(*batch.columns)
-    )
-    if stored is None:
-        return first
-    return first.join(stored.select("event_id"), "event_id", "left_anti")
+    if stored is not None:
+        batch = batch.join(stored.select("event_id"), "event_id", "left_anti").select(*batch.columns)
+    first = Window.partitionBy("event_id").orderBy(*order_by)
+    rank = "_rank"
+    while rank in batch.columns:
+        rank += "_"
+    return batch.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
 
 
 def append_history(rows: DataFrame, path: str) -> None:
@@ -68,6 +68,36 @@ def append_history(rows: DataFrame, path: str) -> None:
     )
 
 
+def append_batch(
+    rows: DataFrame,
+    path: str,
+    batch_id: int,
+    order_by: Sequence[str],
+    *,
+    copies_keep_day: bool = False,
+) -> bool:
+    """Append the events of a batch that no other batch has brought; False if the batch is there.
+
+    Look-up, reduction and write are one job, and the batch appears whole, by a rename: a batch that
+    is run again, wherever its first run stopped, adds nothing twice. One writer at a time. The
+    history is read for its ids only. With ``copies_keep_day`` (copies of an event carry its time, as
+    redelivered messages do) only the days from the batch's first to its last are read.
+    """
+    spark = rows.sparkSession
+    table = Folder(spark, path)
+    if table.child(f"batch_id={batch_id}").exists():
+        return False
+    dated = rows.withColumn("event_date", F.to_date("event_time"))
+    stored = None
+    if table.names():
+        layout = T.StructType([*dated.schema, T.StructField("batch_id", T.LongType())])
+        stored = spark.read.schema(layout).parquet(path)
+        if copies_keep_day:
+            first, last = dated.agg(F.min("event_date"), F.max("event_date")).first()
+            stored = stored.where(F.col("event_date").between(first, last) | F.col("event_date").isNull())
+    return publish(new_rows(dated, stored, order_by), path, batch_id, by=("event_date",))
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
