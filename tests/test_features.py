@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,7 +11,14 @@ from tidemark.definitions import BUILT_IN_FEATURES, FeatureDefinition, FieldFilt
 from tidemark.functions.fields import resolver
 from tidemark.functions.filters import compile_filter
 from tidemark.functions.windows import sliding_starts
-from tidemark.plans.features import compute_features, group_definitions, with_failure
+from tidemark.plans.features import (
+    compute_features,
+    distinct_sketches,
+    finish_sketches,
+    group_definitions,
+    merge_sketches,
+    with_failure,
+)
 
 EVENT = (
     "event_id string, event_type string, event_time timestamp, "
@@ -238,3 +246,28 @@ def test_scan_reads_only_what_features_need(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,click)" in text or "In(event_type, [click])" in text
     assert "value" not in text.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_sketches_of_many_values(spark):
+    """Estimates near the truth, also merged from parts that overlap; the state stays small."""
+    visitors = FeatureDefinition(
+        "visitors", "visit", "DISTINCT_COUNT", value_field="who", window_type="SLIDING", window="2h", slide="1h"
+    )
+    events = spark.range(120_000).select(
+        F.concat(F.lit("e"), "id").alias("event_id"),
+        F.lit("visit").alias("event_type"),
+        F.timestamp_millis((F.col("id") % 4) * 1_800_000).alias("event_time"),
+        F.struct(F.lit("site").alias("type"), F.lit("s").alias("id")).alias("entity"),
+        F.struct(F.concat(F.lit("v"), F.col("id") % 40_000).alias("who")).alias("payload"),
+        F.timestamp_millis(F.col("id")).alias("arrival_time"),
+    )
+    parts = [events.where("event_id < 'e5'"), events.where("event_id > 'e3'")]
+    state = merge_sketches(*[distinct_sketches(p, [visitors]) for p in parts])
+    assert state.agg(F.max(F.octet_length("sketch"))).first()[0] < 5_000
+    got = {r.window_start: r.value for r in finish_sketches(state, [visitors]).collect()}
+    want = {r.window_start: r.value for r in compute_features(events, [visitors]).collect()}
+    assert got.keys() == want.keys() and len(want) == 3
+    for start, value in want.items():
+        assert abs(got[start] - value) < 0.065 * value
+    with pytest.raises(ValueError):
+        distinct_sketches(events, [replace(visitors, aggregation="COUNT")])

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from conftest import SMALL
@@ -160,6 +161,44 @@ def test_features_of_a_stream_equal_batch(spark, tmp_path):
     gold.compact(spark, f"{tmp_path}/log", f"{tmp_path}/compacted")
     assert sorted(rows(f"{tmp_path}/compacted"), key=key) == sorted(want, key=key)
     assert state_rows < len(want) / 4
+    assert len(query.lastProgress.stateOperators) == 1 and len(query.lastProgress.sources) == 1
+
+    # Finished panes merged, twice: windows stay the same and total features need one row.
+    ends = events.select(F.expr("percentile_approx(event_time, array(0.5, 0.9))")).first()[0]
+    source = f"{tmp_path}/compacted"
+    for i, end in enumerate(ends):
+        gold.compact(spark, source, f"{tmp_path}/settled{i}", FEATURES, end)
+        source = f"{tmp_path}/settled{i}"
+        assert sorted(rows(source), key=key) == sorted(want, key=key)
+    settled = spark.read.parquet(source).where("settled and feature_name = 'purchase_value_total'")
+    assert settled.count() == settled.select("entity_id").distinct().count() > 0
+    assert spark.read.parquet(source).count() < spark.read.parquet(f"{tmp_path}/compacted").count()
+
+    footprint = monitoring.state_footprint(spark, query.recentProgress).orderBy("batch_id").collect()
+    assert footprint[-1].entries == state_rows
+    assert sum(r.updated for r in footprint) > 0 and {r.operator for r in footprint} == {0}
+
+
+def test_one_stateful_operator_for_sixty_kinds_of_window(spark, tmp_path):
+    events = reject_late(views.user_events(spark, SMALL)).where("entity.id < 'u-2'")
+    kinds = [
+        replace(views.feature("click_count_1h_15m"), name=f"clicks_{k}", window=(k + 2) * 900_000, slide=900_000)
+        for k in range(60)
+    ]
+    events.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    query = gold.write_changelog(stream, kinds, f"{tmp_path}/log", f"{tmp_path}/cp", 365 * DAY)
+    query.awaitTermination()
+    assert len(query.recentProgress[0].stateOperators) == 1
+    # All panes are open still: the stream's figures and the entries of its checkpoint agree.
+    footprint = monitoring.state_footprint(spark, query.recentProgress).orderBy("batch_id").collect()
+    size = monitoring.state_size(monitoring.stream_state_entries(spark, f"{tmp_path}/cp")).first()
+    assert footprint[-1].entries == size.entries > 0 and footprint[-1].memory_bytes > 0
+    assert size.key_bytes > 0 and size.value_bytes > 0
+    columns = ["entity_id", "feature_name", "window_start", "value"]
+    got = gold.feature_rows(spark.read.parquet(f"{tmp_path}/log"), kinds).select(*columns)
+    want = compute_features(events, kinds).select(*columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
 
 
 def test_fast_dedup_drops_copies(spark, tmp_path):

@@ -42,6 +42,12 @@ def start_millis(
     )
 
 
+def pane_starts(pane: Column, size: Column, slide: Column) -> Column:
+    """Starts, in epoch millis, of all windows that hold the pane starting at ``pane``; ascending."""
+    before = pane - size
+    return F.sequence(before - F.pmod(before, slide) + slide, pane - F.pmod(pane, slide), slide)
+
+
 def sliding_starts(event_time: Column, size_ms: int, slide_ms: int) -> Column:
     """As ``start_millis``, but as timestamps."""
     return F.transform(

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
+from tidemark.definitions import FeatureDefinition
+from tidemark.functions.keys import feature_key
 from tidemark.functions.quantiles import nearest_rank
+from tidemark.functions.values import number_text
 from tidemark.functions.windows import tumbling_start
 
 RATE_WINDOW_MS = 300_000
@@ -69,10 +75,66 @@ def read_status_counts(reads: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def state_size(entries: DataFrame) -> DataFrame:
+def feature_state_entries(rows: DataFrame, definitions: Sequence[FeatureDefinition]) -> DataFrame:
+    """Feature rows as the keys and values a store of their state holds, as text.
+
+    Averages and ratios keep two numbers, all else one.
+    """
+    pairs = sorted({d.name for d in definitions if d.aggregation in ("AVG", "RATIO")})
+    key = feature_key(
+        F.col("entity_type"), F.col("entity_id"), F.col("feature_name"), F.col("window_start")
+    )
+    pair = F.concat_ws(",", number_text(F.col("num")), number_text(F.col("den")))
+    return rows.select(
+        key.alias("key_text"),
+        F.when(F.col("feature_name").isin(pairs), pair)
+        .otherwise(number_text(F.col("num")))
+        .alias("state_text"),
+    )
+
+
+def state_size(entries: DataFrame, *keys: str) -> DataFrame:
     """Bytes of keys and values; ``entries`` has ``key_text`` and ``state_text``."""
-    return entries.agg(
+    return entries.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("entries"),
         F.coalesce(F.sum(F.octet_length("key_text")), F.lit(0)).alias("key_bytes"),
         F.coalesce(F.sum(F.octet_length("state_text")), F.lit(0)).alias("value_bytes"),
     )
+
+
+def stream_state_entries(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """What a stateful stream keeps now, read from its checkpoint as a table, for ``state_size``."""
+    entries = spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
+    return entries.select(
+        "partition_id",
+        F.to_json("key").alias("key_text"),
+        F.to_json("value").alias("state_text"),
+    )
+
+
+# The figures of one stateful operator after one micro-batch.
+FOOTPRINT = (
+    "query string, batch_id bigint, operator int, name string, entries bigint, updated bigint, "
+    "removed bigint, dropped_late bigint, memory_bytes bigint"
+)
+
+
+def state_footprint(spark: SparkSession, progress: Iterable[StreamingQueryProgress]) -> DataFrame:
+    """One row per reported micro-batch and stateful operator (``query.recentProgress``, or what a
+    listener was given). Partitions sum up their own figures; nothing is read here."""
+    rows = [
+        (
+            str(p.id),
+            p.batchId,
+            number,
+            s.operatorName,
+            s.numRowsTotal,
+            s.numRowsUpdated,
+            s.numRowsRemoved,
+            s.numRowsDroppedByWatermark,
+            s.memoryUsedBytes,
+        )
+        for p in progress
+        for number, s in enumerate(p.stateOperators)
+    ]
+    return spark.createDataFrame(rows, FOOTPRINT)

@@ -613,6 +613,9 @@ ORACLES["sum_tumbling"] = (
 )
 
 ORACLES["merge_partials"] = with_(USER, all_user_features()) + f"SELECT {COLUMNS}, n FROM f"
+ORACLES["distinct_approx"] = with_(USER, all_user_features()) + """
+SELECT entity_type, entity_id, feature_name, window_start, value AS exact, true AS close
+FROM f WHERE feature_name IN ('distinct_k_1d', 'distinct_k_6h_1h')"""
 ORACLES["features_all"] = with_(*BUILT_IN) + f"SELECT {COLUMNS}, n, updated_at FROM f"
 ORACLES["user_features_all"] = (
     with_(USER, all_user_features()) + f"SELECT {COLUMNS}, n, updated_at, expires_at FROM f"

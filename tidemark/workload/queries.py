@@ -25,9 +25,12 @@ from tidemark.operators.outcomes import accepted, event_outcomes, reject_late
 from tidemark.plans.declared import compute_declared, match_declared
 from tidemark.plans.features import (
     compute_features,
+    distinct_sketches,
     finish,
+    finish_sketches,
     match_definitions,
     merge_partials,
+    merge_sketches,
     partials,
     with_failure,
 )
@@ -616,6 +619,31 @@ def merge_partials_query(spark, sf_dir):
 QUERIES["merge_partials"] = QUERIES.pop("merge_partials_query")
 
 
+@query
+def distinct_approx(spark, sf_dir):
+    """Distinct counts by sketches of two event sets that overlap, beside the exact ones."""
+    events = views.user_events(spark, sf_dir)
+    asked = [feature("distinct_k_1d"), feature("distinct_k_6h_1h")]
+    at = F.col("event_time")
+    sides = [events.where(at < instant("2024-01-20 00:00:00")), events.where(at >= instant("2024-01-10 00:00:00"))]
+    names = {d.name for d in asked}
+    state = merge_sketches(*[distinct_sketches(s, USER_FEATURES, names=names) for s in sides])
+    estimates = finish_sketches(state, asked).withColumnRenamed("value", "estimate")
+    exact = compute_features(events, USER_FEATURES, names=names)
+    off = F.abs(F.col("estimate") - F.col("value"))
+    keys = ["entity_type", "entity_id", "feature_name", "window_start"]
+    return estimates.select(*keys, "estimate").join(
+        exact.withColumnsRenamed({k: f"exact_{k}" for k in keys}),
+        F.expr(" and ".join(f"{k} <=> exact_{k}" for k in keys)),
+        "full",
+    ).select(
+        *keys,
+        F.col("value").alias("exact"),
+        # Four standard errors.
+        F.coalesce(off <= F.greatest(F.lit(0.5), F.lit(0.065) * F.col("value")), F.lit(False)).alias("close"),
+    )
+
+
 @query
 def features_all(spark, sf_dir):
     """The four built-in features over the request log: one scan, one shuffle."""
@@ -1020,17 +1048,7 @@ def read_status_counts(spark, sf_dir):
 def state_size(spark, sf_dir):
     """Bytes of feature state: key text plus the numbers kept per entry."""
     rows = compute_features(views.request_log(spark, sf_dir), BUILT_IN_FEATURES)
-    key = feature_key(
-        F.col("entity_type"), F.col("entity_id"), F.col("feature_name"), F.col("window_start")
-    )
-    pair = F.concat_ws(",", number_text(F.col("num")), number_text(F.col("den")))
-    is_pair = F.col("feature_name").isin("entity_error_rate_10m", "entity_avg_latency_ms_5m")
-    return monitoring.state_size(
-        rows.select(
-            key.alias("key_text"),
-            F.when(is_pair, pair).otherwise(number_text(F.col("num"))).alias("state_text"),
-        )
-    )
+    return monitoring.state_size(monitoring.feature_state_entries(rows, BUILT_IN_FEATURES))
 
 
 @query
