@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -303,3 +305,77 @@ def test_jaccard_join_other_thresholds(spark, threshold):
     assert all(c == k - k % 2 for k, (c, _) in want.items())
     found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == want
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p title="x>one</p><p>two</p>', "one\n\ntwo"),
+        ("<p data-x=it's>one</p><p class=\"a\">two</p>", "one\n\ntwo"),
+        ("<p title='a>b' lang=en data-q=\"it's > that\">one</p>", "one"),
+        ('<p "lone" x>one</p><p a = "b">two</p>', "one\n\ntwo"),
+        ("a < b <3 </> c", "a < b <3 c"),
+        ("<!-->x<!--->y<!-- <p>z</p> -->w<!doctype html><?php 1 ?>!", "xyw!"),
+        ("<head><title>t</title></head><head>one<noscript>two</noscript>", "one\n\ntwo"),
+        ("<ul><li>one<li>two<ul><li>three</ul><li>four</ul>", "one\n\ntwo\n\nthree\n\nfour"),
+        ("<p>one<b>two<div>three</b>four</div></p>", "onetwo\n\nthreefour"),
+        ("one<b ", "one"),
+    ],
+)
+def test_html_tags_as_browsers_read_them(page, text):
+    nodes = html_extract.parse(page)
+    assert "\n\n".join(html_extract.blocks_of(nodes, np.ones(len(nodes), bool))) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<b "' * 250_000,
+        "<" * 1_000_000,
+        "<p a='" * 200_000,
+        "<!--" * 200_000,
+        "<head>" * 100_000,
+        "<p " + "a" * 1_000_000 + "=1>x",
+        "<div>" * 100_000 + "x" + "</div>" * 100_000,
+        "<p><i>" * 50_000,
+        "".join(f"<x{i}></x{i}>" for i in range(100_000)),
+    ],
+    ids=["open tags", "lone brackets", "open quotes", "open comments", "heads", "long name", "deep", "inline", "names"],
+)
+def test_html_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    nodes = html_extract.parse(page)
+    html_extract.describe(nodes)
+    html_extract.decode(nodes, np.ones(len(nodes)))
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<pre>def f(x):\n  return x</pre>", "def f(x): return x"),
+        ("<noscript>The chart shows rain by month.</noscript>", "The chart shows rain by month."),
+        ("<table><tr><td>Cost</td><td>5 million</td></tr></table>", "Cost\n\n5 million"),
+        ("<dl><dt>Bridge</dt><dd>A way over a river.</dd></dl>", "Bridge\n\nA way over a river."),
+        ("<ol><li>First step of the work</li><li>Second step</li></ol>", "First step of the work\n\nSecond step"),
+    ],
+)
+def test_html_article_parts_of_rare_kinds(html_model, part, text):
+    story = "The council voted on Monday to repair the old bridge before winter. Work begins in May, officials said."
+    page = (
+        f"<html><body><nav><a href=/>Home</a><a href=/n>News</a></nav><article><h1>Bridge</h1><p>{story}</p>{part}"
+        f"<p>{story}</p></article><footer>All rights reserved</footer></body></html>"
+    )
+    assert html_extract.extract(page, html_model) == f"Bridge\n\n{story}\n\n{text}\n\n{story}"
+
+
+def test_html_judged_in_slices_and_beside_clashing_columns(spark, html_model, monkeypatch):
+    page = "<body><article><h1>Old bridge</h1>" + "<p>The council voted on Monday, officials said.</p>" * 40 + "</article></body>"
+    whole = html_extract.extract(page, html_model)
+    monkeypatch.setattr(html_extract, "NODES", 7)
+    assert html_extract.extract(page, html_model) == whole
+    rows = [(1, page, "mine"), (1, page, "mine"), (None, "", "mine")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    found = html_extract.extract_text(pages, model=html_model)
+    assert found.columns == ["page_id", "html", "text"]
+    assert sorted(r.text for r in found.collect()) == sorted(["", whole, whole])

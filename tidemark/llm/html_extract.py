@@ -18,6 +18,11 @@ smallest hash of page_id. Their paragraphs are also set anew into generated layo
 menus, notices, adverts, forms, comments, ...), so that the model learns such parts even where the
 sample has none. The fit runs on the driver; all pages are read whole, in one pass without a shuffle.
 
+Tags are read as browsers read them (a quote counts only behind an equals sign), in time proportional to
+the page; ``noscript`` is an element like others. Features are laid out in full for ``NODES`` nodes at a
+time, so memory follows the longest page's text and tree alone. A column of the input named like the
+new one is replaced.
+
 Null and empty pages give an empty text. Repeated rows are each extracted. White space is what
 ``str.split`` splits at; a line break element counts as white space.
 """
@@ -41,10 +46,12 @@ from tidemark.llm.common import table, with_rows
 PAGES = 200
 TREES, DEPTH, RATE = 60, 4, 0.3
 TOKEN_BUCKETS = 256
+# Nodes described in full at a time.
+NODES = 1 << 13
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "select", "head")
+RAW = ("script", "style", "textarea", "title", "iframe", "template", "svg", "select", "head")
 INLINE = set(
     "a abbr b bdi bdo cite code del dfn em font i ins kbd label mark q s samp small span strong sub sup "
     "time tt u var big strike acronym br wbr img".split()
@@ -67,11 +74,20 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "aside", "body", "td", "nav", "form"}
 TAGS = (
     "html body div article main section aside nav header footer form p h1 h2 h3 h4 h5 h6 ul ol li table tr td "
-    "th blockquote pre figure figcaption a span b button fieldset dl dt dd address details menu #text ins small label"
+    "th blockquote pre figure figcaption a span b button fieldset dl dt dd address details menu #text ins small label "
+    "noscript code summary"
 ).split()
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<([!?/]?)([a-zA-Z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# One attribute. A quote counts only behind ``=``; one that never ends is a character like any other.
+_VALUE = r"(?:\s*+=\s*+(?:\"({0})\"|'({1})'|([^\s>][^\s>]*+))?+)?+"
+_NAME = r"[^\s/>][^\s/>=]*+"
+_ATTR = re.compile(f"({_NAME})" + _VALUE.format("[^\"]*+", "[^']*+"))
+_PLAIN = re.sub(r"\((?!\?)", "(?:", _VALUE.format("[^\"]*+", "[^']*+"))
+# A tag from its name on; possessive throughout, so no character is looked at more than twice.
+_TAG = re.compile(f"([a-zA-Z][^\\s/>]*+)((?:[\\s/]++|{_NAME}{_PLAIN})*+)(?:>|\\Z)")
+_MARKUP = re.compile("<(?=[a-zA-Z/!?])")
+# It may begin with the dashes that open the comment.
+_COMMENT_END = re.compile("--!?>")
 _PARTS = re.compile(r"[a-z]+")
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:" + "|".join(NAMING) + r")\s*=", re.I)
 _BETWEEN_LINKS = re.compile(r"[\s|/·•»›>–-]*")
@@ -193,65 +209,100 @@ def parse(page: str) -> list[Node]:
     return with_runs(elements(page))
 
 
+class Open:
+    """The open elements of a page, with the places of each kind, so that no step walks the stack."""
+
+    def __init__(self, root: int) -> None:
+        self.stack, self.tags = [root], [""]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes, self.walls = [0], [0], [0]
+
+    def push(self, node: int, tag: str) -> None:
+        here = len(self.stack)
+        self.stack.append(node)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(here)
+        if tag not in INLINE:
+            self.blocks.append(here)
+        if tag in SCOPE:
+            self.scopes.append(here)
+            if tag != "td":
+                self.walls.append(here)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of this kind; 0 if none is open."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        for tag in self.tags[place:]:
+            self.places[tag].pop()
+        del self.stack[place:], self.tags[place:]
+        for places in (self.blocks, self.scopes, self.walls):
+            while places[-1] >= place:
+                places.pop()
+
+
 def elements(page: str) -> list[Node]:
-    """Elements in page order; node 0 is the root."""
+    """Elements in page order; node 0 is the root. Time grows in proportion to the page.
+
+    A tag without its end takes the rest of the page, as in browsers.
+    """
     nodes = [Node("#", 0, 0)]
-    stack = [0]
-    at = 0
+    now = Open(0)
+    at, head = 0, False
 
     def text(piece: str) -> None:
         if piece:
-            nodes[stack[-1]].parts.append(html.unescape(piece) if "&" in piece else piece)
+            nodes[now.stack[-1]].parts.append(html.unescape(piece) if "&" in piece else piece)
 
     while True:
-        found = _TAG.search(page, at)
+        found = _MARKUP.search(page, at)
         if not found:
             text(page[at:])
             return nodes
         text(page[at : found.start()])
         at = found.end()
-        mark, name, rest = found.group(1), (found.group(2) or "").lower(), found.group(3)
-        if not name:
-            if mark is not None and not mark:  # a lone < is text
-                text("<")
-                at = found.start() + 1
+        if page.startswith("!--", at):
+            stop = _COMMENT_END.search(page, at + 1)
+            at = stop.end() if stop else len(page)
             continue
-        if mark in ("!", "?"):
+        ending = page[at] == "/"
+        tag = _TAG.match(page, at + ending)
+        if not tag:  # a declaration, or an end tag without a name
+            at = page.find(">", at) + 1 or len(page)
             continue
-        if mark == "/":
-            open_tags = [nodes[i].tag for i in stack]
-            if name in open_tags:
-                keep = len(open_tags) - 1 - open_tags[::-1].index(name)
-                # An inline end tag does not close the blocks opened inside it.
-                if keep and not (name in INLINE and any(t not in INLINE for t in open_tags[keep + 1 :])):
-                    del stack[keep:]
-            elif name in ("p", "br"):
+        at = tag.end()
+        name, rest = tag.group(1).lower(), tag.group(2)
+        if page[at - 1] != ">":
+            return nodes
+        if ending:
+            keep = now.last(name)
+            # An inline end tag does not close the blocks opened inside it.
+            if keep and not (name in INLINE and now.blocks[-1] > keep):
+                now.cut(keep)
+            elif not keep and name in ("p", "br"):
                 text(" ")
             continue
-        if name in BREAKS_P and any(nodes[i].tag == "p" for i in stack):
-            k = max(k for k, i in enumerate(stack) if nodes[i].tag == "p")
-            if not any(nodes[i].tag in SCOPE for i in stack[k + 1 :]):
-                del stack[k:]
-        for k in range(len(stack) - 1, 0, -1) if name in ENDS else ():
-            tag = nodes[stack[k]].tag
-            if tag in ENDS[name]:
-                del stack[k:]
-                break
-            if tag in SCOPE and tag not in ("td",):
-                break
+        if name in BREAKS_P and (place := now.last("p")) and now.scopes[-1] <= place:
+            now.cut(place)
+        if name in ENDS and (place := max(map(now.last, ENDS[name]))) and now.walls[-1] <= place:
+            now.cut(place)
         if name in RAW:
             if name == "head":
-                stop = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
+                stop = None if head else re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
                 at = (stop.end() if stop.group().startswith("</") else stop.start()) if stop else at
+                head = True
             elif not rest.endswith("/"):
                 stop = _END[name].search(page, at)
                 at = stop.end() if stop else len(page)
             continue
-        node = Node(name, stack[-1], len(stack), rest)
-        nodes[stack[-1]].parts.append(len(nodes))
+        node = Node(name, now.stack[-1], len(now.stack), rest)
+        nodes[now.stack[-1]].parts.append(len(nodes))
         nodes.append(node)
         if name not in VOID and not rest.endswith("/"):
-            stack.append(len(nodes) - 1)
+            now.push(len(nodes) - 1, name)
 
 
 _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
@@ -287,10 +338,28 @@ def in_line(nodes: list[Node], node: Node, back: bool = False) -> list[tuple]:
     return found
 
 
-def describe(nodes: list[Node]) -> np.ndarray:
-    """One row of features per node."""
+@dataclass
+class Described:
+    """Features of nodes: a few numbers each, and which of the yes-or-no features they have."""
+
+    numbers: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+
+    def dense(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """One row of all features per node from ``start`` to ``stop``."""
+        numbers = self.numbers[start:stop]
+        rows = np.zeros((len(numbers), FEATURES), np.float32)
+        rows[:, :_NUMBERS] = numbers
+        a, b = np.searchsorted(self.row, (start, start + len(numbers)))
+        rows[self.row[a:b] - start, self.column[a:b]] = 1
+        return rows
+
+
+def describe(nodes: list[Node]) -> Described:
+    """Features of every node."""
     n = len(nodes)
-    rows = np.zeros((n, FEATURES), np.float32)
+    marked: list[tuple[int, int]] = []
     chars, linked, tags, stops, blocks = ([0] * n for _ in range(5))
     for i in range(n - 1, -1, -1):
         node = nodes[i]
@@ -338,14 +407,14 @@ def describe(nodes: list[Node]) -> np.ndarray:
             )
         )
         if node.tag in _TAG_NUMBER:
-            rows[i, _NUMBERS + _TAG_NUMBER[node.tag]] = 1
+            marked.append((i, _NUMBERS + _TAG_NUMBER[node.tag]))
         if "=" in node.attributes:
             for name, *values in _ATTR.findall(node.attributes.lower()):
                 if name in NAMING:
                     for token in _PARTS.findall("".join(values)):
-                        rows[i, _NUMBERS + len(TAGS) + bucket(token)] = 1
-    rows[:, :_NUMBERS] = numbers
-    return rows
+                        marked.append((i, _NUMBERS + len(TAGS) + bucket(token)))
+    row, column = np.array(marked, np.int64).reshape(-1, 2).T
+    return Described(np.array(numbers, np.float32), row, column)
 
 
 @dataclass
@@ -368,6 +437,19 @@ class Trees:
         return total
 
 
+def judge(trees: list[list[Node]], model: Trees) -> list[np.ndarray]:
+    """Odds of the nodes of each tree; ``NODES`` of them at a time are laid out in full."""
+    made = [describe(nodes) for nodes in trees]
+    counts = np.cumsum([0, *map(len, trees)])
+    whole = Described(
+        np.concatenate([m.numbers for m in made]),
+        np.concatenate([m.row + c for m, c in zip(made, counts)]),
+        np.concatenate([m.column for m in made]),
+    )
+    odds = [model.odds(whole.dense(a, a + NODES)) for a in range(0, int(counts[-1]), NODES)]
+    return np.split(np.concatenate(odds), counts[1:-1])
+
+
 def boost(rows: np.ndarray, wanted: np.ndarray, trees: int = TREES) -> Trees:
     """Fit by second-order boosting of the logistic loss on binned features."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, 25)[1:-1])) for c in rows.T]
@@ -575,6 +657,8 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
 
     def some(kinds: str, most: int) -> str:
         made = [part(k) for k in rnd.sample(kinds.split(), rnd.randint(0, most))]
+        if rnd.random() < 0.05:
+            made.append(rnd.choice(["<noscript>{}</noscript>", "<noscript><p>{}</p></noscript>"]).format(esc(few_words())))
         for _ in range(rnd.choice([0, 0, 1, 2])):
             made.insert(rnd.randint(0, len(made)), bare())
         return "".join(made)
@@ -588,6 +672,29 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
             words[k] = f'<{tag} data-y=1{named if rnd.random() < 0.5 else ""}>{words[k]}</{tag}>'
         return " ".join(w if w.startswith("<") else MARK + w for w in words)
 
+    def rare_part(text: str) -> str:
+        """An article part of a kind that sample pages may not have."""
+        cells = [esc(t) for t in text.split(". ") if t]
+        pairs = list(zip(cells[::2], cells[1::2])) or [(esc(few_words()), esc(text))]
+        made = rnd.choice(
+            [
+                f"<pre>{esc(text)}</pre>",
+                f"<pre>{esc(few_words())}</pre>",
+                f"<pre><code>{esc(text)}</code></pre>",
+                f"<noscript>{esc(text)}</noscript>",
+                f"<noscript><p>{esc(text)}</p></noscript>",
+                f"<noscript><p>{esc(few_words())}</p><p>{esc(text)}</p></noscript>",
+                f"<noscript>{esc(few_words())}</noscript>",
+                "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in pairs) + "</table>",
+                f"<table><tr><th>{esc(few_words())}</th><th>x</th></tr><tr><td>{esc(few_words())}</td><td>7</td></tr></table>",
+                "<dl>" + "".join(f"<dt>{a}</dt><dd>{b}</dd>" for a, b in pairs) + "</dl>",
+                f"<figure><img src=x><figcaption>{esc(few_words())}</figcaption></figure>",
+                "<ol>" + "".join(f"<li>{c}</li>" for c in cells or ["x"]) + "</ol>",
+                f"<details><summary>{esc(few_words())}</summary><p>{esc(text)}</p></details>",
+            ]
+        )
+        return re.sub("<([a-z]+)", r"<\1 data-y=1", made)
+
     pieces = [f'<h{(n := rnd.choice([1, 1, 2]))} data-y=1>{esc(title)}</h{n}>'] if rnd.random() < 0.9 else []
     if pieces and rnd.random() < 0.15:
         pieces = [f"<header data-y=1>{pieces[0]}</header>"]
@@ -611,6 +718,8 @@ def layout(rnd: random.Random, title: str, texts: list[str], other: list[str]) -
             pieces.append(f"<blockquote data-y=1><p data-y=1>{esc(text)}</p></blockquote>")
         elif kind < 0.2:
             pieces.append(f"<h3 data-y=1>{esc(few_words())}</h3>")
+        elif kind < 0.32:
+            pieces.append(rare_part(text))
         else:
             pieces.append(f"<p data-y=1>{esc(text)}</p>")
         if rnd.random() < 0.12:
@@ -699,7 +808,7 @@ def labelled_nodes(nodes: list[Node], inside: str) -> np.ndarray:
     return wanted
 
 
-def train(pages: list[str], seed: int = 11, layouts: int = 800) -> Trees:
+def train(pages: list[str], seed: int = 11, layouts: int = 1200) -> Trees:
     """Fit on pages with an article element and on layouts made of their text."""
     rnd = random.Random(seed)
     rows, wanted, stories, other = [], [], [], ["more of this", "read on", "about us"]
@@ -714,7 +823,7 @@ def train(pages: list[str], seed: int = 11, layouts: int = 800) -> Trees:
                 stories.append(texts)
                 break
         mine = [node.judged for node in nodes]
-        rows.append(describe(nodes)[mine])
+        rows.append(describe(nodes).dense()[mine])
         wanted.append(y[mine])
     stories = [s for s in stories if s] or [["a text of a few words.", "and one more."]]
     other += [t for s in stories for t in s[1:3]]
@@ -727,13 +836,13 @@ def train(pages: list[str], seed: int = 11, layouts: int = 800) -> Trees:
         for node in nodes:
             node.attributes = node.attributes.replace("data-y=1", "")
             node.parts = [p.replace(MARK, "") if p.__class__ is str else p for p in node.parts]
-        rows.append(describe(nodes)[mine])
+        rows.append(describe(nodes).dense()[mine])
     return boost(np.concatenate(rows), np.concatenate(wanted))
 
 
 def extract(page: str, model: Trees) -> str:
     nodes = parse(page)
-    return "\n\n".join(blocks_of(nodes, decode(nodes, model.odds(describe(nodes)))))
+    return "\n\n".join(blocks_of(nodes, decode(nodes, judge([nodes], model)[0])))
 
 
 def extract_text(
@@ -750,13 +859,19 @@ def extract_text(
         model = train([r[2] for r in sorted(map(tuple, chosen.toLocalIterator()), key=lambda r: (r[0], str(r[1]), r[2]))])
 
     def make(columns: list[pa.Array]) -> list:
-        trees = [parse(x.as_py() or "") for x in columns[0]]
         texts: list[str] = []
-        for a in range(0, len(trees), 64):
-            group = trees[a : a + 64]
-            odds = model.odds(np.concatenate([describe(t) for t in group]))
-            ends = np.cumsum([len(t) for t in group])
-            texts += ["\n\n".join(blocks_of(t, decode(t, odds[e - len(t) : e]))) for t, e in zip(group, ends)]
+        trees: list[list[Node]] = []
+
+        def extract_all() -> None:
+            for nodes, odds in zip(trees, judge(trees, model) if trees else ()):
+                texts.append("\n\n".join(blocks_of(nodes, decode(nodes, odds))))
+            trees.clear()
+
+        for page in columns[0]:
+            trees.append(parse(page.as_py() or ""))
+            if sum(map(len, trees)) >= NODES:
+                extract_all()
+        extract_all()
         return [texts]
 
     return with_rows(pages, {"text": T.StringType()}, make, column)
