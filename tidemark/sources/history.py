@@ -81,7 +81,8 @@ def append_batch(
     Look-up, reduction and write are one job, and the batch appears whole, by a rename: a batch that
     is run again, wherever its first run stopped, adds nothing twice. One writer at a time. The
     history is read for its ids only. With ``copies_keep_day`` (copies of an event carry its time, as
-    redelivered messages do) only the days from the batch's first to its last are read.
+    redelivered messages do) only the days from the batch's first to its last are read, found in a
+    pass of their own over the batch's times.
     """
     spark = rows.sparkSession
     table = Folder(spark, path)
