@@ -99,3 +99,18 @@ def test_no_declarations(spark):
     table = registry_table(spark, views.USER_FEATURES).where("false")
     assert declared.compute_declared(events, table).count() == 0
     assert declared.evaluate(events, table).where("supported or failure is not null").count() == 0
+
+
+def test_a_path_is_read_once_however_many_declarations_name_it(spark):
+    events = awkward_events(spark).where("event_type = 'click' and seq < 120")
+
+    def reads(definitions):
+        table = registry_table(spark, definitions)
+        row = declared._declared_types(table).where("_type = 'click'").first()
+        return row["_paths"], len(row["_declared"])
+
+    definitions = [d for d in views.THRESHOLD_FEATURES if d.event_type == "click"]
+    assert reads(definitions) == (["value"], 20)
+    # What is judged is not copied into later steps: each stands in the plan once.
+    plan = declared.compute_declared(events, registry_table(spark, definitions))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("missing ") <= 2

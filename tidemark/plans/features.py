@@ -159,11 +159,19 @@ def _parts(
     return prepared, [contribution(d, field) for d in definitions]
 
 
+def _any(conditions: Sequence[Column]) -> Column:
+    """Whether one of them holds; a balanced tree, as a chain of hundreds overflows Spark's stack."""
+    if not conditions:
+        return F.lit(False)
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
+
+
 def _verdict(definitions: Sequence[FeatureDefinition]) -> list[Column]:
     """``supported`` and ``failure`` from the columns ``_m{i}`` and ``_problem{i}``."""
-    supported = F.lit(False)
-    for i in range(len(definitions)):
-        supported = supported | F.col(f"_m{i}")
+    supported = _any([F.col(f"_m{i}") for i in range(len(definitions))])
     bad_key = F.when(supported, key_problem(F.col("entity.type"), F.col("entity.id")))
     problems = [F.col(f"_problem{i}") for i in range(len(definitions))]
     return [
