@@ -291,7 +291,8 @@ def _filter_query(operator: str) -> Query:
         by_column = flat.select(
             "event_id", hit(flat, "payload.value", "100").alias("column_matches")
         )
-        return by_variant.join(by_column, "event_id")
+        # Both sides have a row per event: never a table held whole by every task.
+        return by_variant.join(by_column.hint("merge"), "event_id")
 
     run.__name__ = f"filter_{operator.lower()}"
     run.__doc__ = f"Declared {operator} filters on numbers, text and missing fields."
