@@ -20,3 +20,28 @@ def plan_of(frame):
 @pytest.mark.parametrize("operator", ["exists", "eq", "ne", "gt", "gte", "lt", "lte"])
 def test_filters_hold_no_table_in_every_task(spark, operator):
     assert "Broadcast" not in plan_of(QUERIES[f"filter_{operator}"](spark, SMALL))
+
+
+def test_windows_are_made_after_the_last_shuffle_of_panes(spark):
+    plan = plan_of(QUERIES["busiest_sliding"](spark, SMALL))
+    # Panes, panes by stretch, sums by value, sums by user; no window is sorted for an aggregate.
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert not any("start_ms" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "stretch" in line)
+
+
+def test_many_windows_to_a_pane_as_few(spark, monkeypatch):
+    events = views.user_events(spark, SMALL).where("seq % 3 < 2")
+    slides = [("3h", "7m"), ("1h", "4m"), ("50m", "1m")]
+    definitions = [*views.USER_FEATURES] + [
+        FeatureDefinition(f"{kind}-{size}", "click", kind, "user", value_field="k", window_type="SLIDING", window=size, slide=slide)
+        for size, slide in slides
+        for kind in ("SUM", "AVG", "DISTINCT_COUNT")
+    ]
+    columns = [*features.FEATURE_KEYS, F.round("value", 6).alias("value"), "n", "updated_at", "expires_at"]
+
+    def rows():
+        return sorted(map(str, features.compute_features(events, definitions).select(*columns).collect()))
+
+    found = rows()
+    monkeypatch.setattr(features, "SPREAD", 10**9)
+    assert found == rows() != []

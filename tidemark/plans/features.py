@@ -34,7 +34,7 @@ from tidemark.functions.windows import floor_to, pane_starts, window_expiry
 
 # Slots per group row: wider rows save shuffled rows, but very wide ones leave codegen.
 MAX_SLOTS = 8
-# Windows to a pane from which on panes are brought together before they are spread.
+# Windows to a pane from which on panes are brought together, and their windows made where they lie.
 SPREAD = 8
 
 ENTITY_KEYS = ["entity_type", "entity_id"]
@@ -353,6 +353,92 @@ def slide_panes(panes: DataFrame, groups: Sequence[Group]) -> DataFrame:
     )
 
 
+def window_sums(panes: DataFrame, groups: Sequence[Group], width: int) -> DataFrame:
+    """Pane rows -> one row per window, ``start_ms`` being its start: no window is shuffled or sorted.
+
+    Windows are dealt to stretches of time as long as they are themselves, and a pane is copied to the
+    two stretches at most whose windows hold it. The panes of one entity and stretch, a number fixed by
+    the declaration, lie in one array. Between the starts at which a pane enters or leaves, all windows
+    hold the same panes, so those are added up once and the windows spread last.
+    """
+
+    def of_group(values: Sequence[int | None]) -> Column:
+        return F.array(*[F.lit(v).cast("bigint") for v in values])[F.col("group_id")]
+
+    size = of_group([g.window if g.is_sliding else None for g in groups])
+    slide = of_group([g.slide if g.is_sliding else None for g in groups])
+    pane = F.col("start_ms")
+    values = [f"{what}{slot}" for slot in range(width) for what in ("n", "num", "den", "at")]
+    # Without sliding windows a pane is its own stretch and its own window.
+    lies_in = F.when(size.isNull(), F.array(pane)).otherwise(
+        F.sequence(
+            F.floor((floor_to(pane - size, slide) + slide) / size), F.floor(floor_to(pane, slide) / size), F.lit(1).cast("bigint")
+        )
+    )
+    keys = [*ENTITY_KEYS, "group_id", "stretch", *(["distinct_value"] if "distinct_value" in panes.columns else [])]
+    held = (
+        panes.select(*panes.columns, F.explode(lies_in).alias("stretch"))
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("start_ms", *values)).alias("panes"))
+    )
+    stretch = F.col("stretch")
+    # The first and the last window of the stretch, then of a pane in it.
+    ends = compute_once(
+        held,
+        size.alias("size_ms"),
+        slide.alias("slide_ms"),
+        floor_to(stretch * size + slide - 1, slide).alias("first_ms"),
+        floor_to(stretch * size + size - 1, slide).alias("last_ms"),
+    )
+    slide = F.col("slide_ms")
+
+    def entered(p: Column) -> Column:
+        first = F.greatest(floor_to(p["start_ms"] - F.col("size_ms"), slide) + slide, F.col("first_ms"))
+        last = F.least(floor_to(p["start_ms"], slide), F.col("last_ms"))
+        return F.struct(first.alias("first"), last.alias("last"), *[p[v].alias(v) for v in values])
+
+    entries = compute_once(ends, F.transform("panes", entered).alias("entries"))
+    cuts = F.flatten(F.transform("entries", lambda e: F.array(e["first"], e["last"] + slide)))
+    cut = compute_once(entries, F.array_sort(F.array_distinct(cuts)).alias("cuts"))
+
+    def add(total: Column, e: Column) -> Column:
+        both = [
+            F.greatest(total[v], e[v]) if v.startswith("at") else F.coalesce(total[v] + e[v], total[v], e[v]) for v in values
+        ]
+        return F.struct(*[c.alias(v) for v, c in zip(values, both)])
+
+    kinds = {f.name: f.dataType for f in panes.schema}
+    nothing = F.struct(*[F.lit(None).cast(kinds[v]).alias(v) for v in values])
+
+    def held_from(start: Column, i: Column) -> Column:
+        inside = F.filter("entries", lambda e: (e["first"] <= start) & (e["last"] >= start))
+        return F.struct(
+            start.alias("first"),
+            (F.get("cuts", i + 1) - slide).alias("last"),
+            F.size(inside).alias("panes"),
+            F.aggregate(inside, nothing, add).alias("sums"),
+        )
+
+    own = F.transform(
+        "panes",
+        lambda p: F.struct(
+            p["start_ms"].alias("first"),
+            p["start_ms"].alias("last"),
+            F.lit(1).alias("panes"),
+            F.struct(*[p[v].alias(v) for v in values]).alias("sums"),
+        ),
+    )
+    between = F.transform(F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0))), held_from)
+    runs = F.when(F.col("size_ms").isNull(), own).otherwise(F.filter(between, lambda r: r["panes"] > 0))
+    kept = [k for k in keys if k != "stretch"]
+    starts = F.when(F.col("size_ms").isNull(), F.array("r.first")).otherwise(F.sequence("r.first", "r.last", slide))
+    return (
+        compute_once(cut, runs.alias("runs"))
+        .select(*kept, "size_ms", "slide_ms", F.explode("runs").alias("r"))
+        .select(*kept, F.explode(starts).alias("start_ms"), *[F.col("r.sums")[v].alias(v) for v in values])
+    )
+
+
 def slot_sums(width: int) -> list[Column]:
     sums = []
     for slot in range(width):
@@ -443,7 +529,9 @@ def partials(
         keys.append("distinct_value")
     width = max(len(g.members) for g in groups)
     grouped = exploded.groupBy(*keys).agg(*slot_sums(width))
-    if any(g.is_sliding for g in groups):
+    if max([g.window // g.slide for g in groups if g.is_sliding], default=0) > SPREAD:
+        grouped = window_sums(grouped, groups, width)
+    elif any(g.is_sliding for g in groups):
         grouped = slide_panes(grouped, groups).groupBy(*keys).agg(*slot_sums(width))
     return unpivot_slots(grouped.withColumn("window_start", F.timestamp_millis("start_ms")), groups)
 

@@ -578,13 +578,16 @@ def busiest_sliding(spark, sf_dir):
     """Per user the busiest of all one-day windows that start at every minute, and how many there are."""
     clicks = replace(feature("click_count_1h_15m"), name="clicks_1d_1m", window=24 * HOUR, slide=MINUTE)
     rows = compute_features(views.user_events(spark, sf_dir), [clicks])
-    start = F.col("window_start")
-    first_peak = F.max_by("window_start", F.struct("value", (-F.unix_millis(start)).alias("at")))
-    return rows.groupBy("entity_type", "entity_id").agg(
-        F.count(F.lit(1)).alias("windows"),
+    # By value first: sums of fixed width, so that no window is sorted.
+    user = ["entity_type", "entity_id"]
+    by_value = rows.groupBy(*user, "value").agg(
+        F.count(F.lit(1)).alias("windows"), F.min("window_start").alias("first"), F.sum("n").alias("counted")
+    )
+    return by_value.groupBy(*user).agg(
+        F.sum("windows").alias("windows"),
         F.max("value").alias("peak"),
-        first_peak.alias("peak_start"),
-        F.sum("n").alias("counted"),
+        F.max_by("first", "value").alias("peak_start"),
+        F.sum("counted").alias("counted"),
     )
 
 
