@@ -45,3 +45,31 @@ def test_many_windows_to_a_pane_as_few(spark, monkeypatch):
     found = rows()
     monkeypatch.setattr(features, "SPREAD", 10**9)
     assert found == rows() != []
+
+
+def sides(spark):
+    at = dt.datetime(2024, 1, 1)
+    schema = "entity_type string, entity_id string, feature_name string, window_start timestamp, value double"
+    realtime = [("s", "a", "x", at, 1.0), ("s", "a", "y", at, 2.0), ("s", "a", "other", at, 3.0), (None, None, None, None, None)]
+    computed = [("s", "a", "x", at, 1.0), ("s", "a", "y", None, 2.0), ("s", "a", "other", at, 4.0), ("s", "b", "x", at, None)]
+    return spark.createDataFrame(realtime, schema), spark.createDataFrame(computed, schema)
+
+
+def test_expected_features_compare_as_any(spark):
+    plain = sorted(map(str, parity.compare(*sides(spark)).collect()))
+    assert sorted(map(str, parity.compare(*sides(spark), ["x", "y", "z"]).collect())) == plain
+    assert len(plain) == 6
+
+
+def test_baseline_windows_take_one_shuffle_each_way(spark):
+    at = [dt.datetime(2024, 1, 1, 0, m) for m in (0, 4, 5, 9, 10, 25)] + [None]
+    rows = [("service", "a", t, n, 500 if n % 2 else 200, 7 * n) for n, t in enumerate(at)]
+    history = spark.createDataFrame(
+        rows, "entity_type string, entity_id string, event_time timestamp, count_value long, status_code int, latency_ms long"
+    )
+    found = baseline.all_windows(history)
+    # One for the windows, one for the totals.
+    assert plan_of(found).count("Exchange hashpartitioning") == 2
+    single = [baseline.windows(history, f) for f in baseline.WINDOW_MS] + [baseline.totals(history)]
+    want = [r for frame in single for r in frame.collect()]
+    assert sorted(map(str, found.collect())) == sorted(map(str, want))

@@ -1,7 +1,7 @@
 """The built-in features recomputed from history: an independent second path.
 
-History is reduced once to five-minute sums per entity; the ten-minute windows and the totals
-are roll-ups of those few rows.
+History is reduced to sums of five minutes per entity, the two of a ten-minute window in one row, so
+that all windows come from one shuffle; totals are sums of their own.
 
 Windows asked for by any start, aligned or not, are differences of running sums: the sums of all
 events of an entity before an instant are read at the two ends of a window, as of its start and as
@@ -134,16 +134,46 @@ def _features_of_size() -> Column:
     return F.array(of(0, TOTAL), *[of(size, name) for name, size in WINDOW_MS.items()])
 
 
+def _half_sums(history: DataFrame) -> DataFrame:
+    """Per entity and ten minutes the sums of the first and of the second five, null where no event is."""
+    ten = tumbling_start(F.col("event_time"), TEN_MINUTES)
+    second = F.coalesce(tumbling_start(F.col("event_time"), FIVE_MINUTES) != ten, F.lit(False))
+    values = {**_values(), "updated_at": F.col("event_time")}
+    sums = []
+    for half, hit in enumerate((~second, second)):
+        for name, value in values.items():
+            reduce = F.max if name == "updated_at" else F.sum
+            sums.append(reduce(F.when(hit, value)).alias(f"{name}{half}"))
+    return history.groupBy(*ENTITY_KEYS, ten.alias("window_start")).agg(*sums)
+
+
 def all_windows(history: DataFrame) -> DataFrame:
-    """Every window of every feature and the totals, from one scan of the history.
+    """Every window of every feature and the totals.
 
-    Each five-minute row feeds its own window, its ten-minute window and the total.
+    A row of ten minutes gives its two five-minute windows and its own where it lies, so nothing but
+    those rows is shuffled. Totals, reduced before the shuffle, read the history once more.
     """
-    fed = five_minute_sums(history).select(
-        *ENTITY_KEYS, F.inline(_levels(F.col("window_start"))), *_SUMS, "updated_at"
+    start, length = F.col("window_start"), F.lit(FIVE_MINUTES)
+    second = F.timestamp_micros(F.unix_micros(start) + length * F.lit(1000).cast("bigint"))
+
+    def half(number: int, begin: Column) -> Column:
+        values = [F.col(f"{c}{number}").alias(c) for c in (*_SUMS, "updated_at")]
+        row = F.struct(F.lit(FIVE_MINUTES).alias("size_ms"), begin.alias("start"), *values)
+        return F.when(F.col(f"events{number}").isNotNull(), row)
+
+    def both(name: str) -> Column:
+        first, last = F.col(f"{name}0"), F.col(f"{name}1")
+        return F.coalesce(first + last, first, last).alias(name)
+
+    whole = F.struct(
+        F.lit(TEN_MINUTES).alias("size_ms"),
+        start.alias("start"),
+        *[both(c) for c in _SUMS],
+        F.greatest("updated_at0", "updated_at1").alias("updated_at"),
     )
-    sums = _roll_up(fed, *ENTITY_KEYS, "size_ms", "start")
-    return (
+    found = F.explode(F.array(half(0, start), half(1, second), whole)).alias("w")
+    sums = _half_sums(history).select(*ENTITY_KEYS, found).where(F.col("w").isNotNull()).select(*ENTITY_KEYS, "w.*")
+    rows = (
         sums.select(
             *ENTITY_KEYS,
             F.col("start").alias("window_start"),
@@ -153,6 +183,7 @@ def all_windows(history: DataFrame) -> DataFrame:
         .where(F.col("f").isNotNull())
         .select(*ENTITY_KEYS, "f.feature_name", "window_start", "f.value", "updated_at")
     )
+    return rows.unionByName(totals(history))
 
 
 def latest(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
         if "status" in rows.columns
         else F.when(F.col("value").isNotNull(), "PRESENT").otherwise("MISSING")
     )
-    code = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status)
+    # Without a status: a row all the same.
+    code = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status), F.lit(-1).cast("bigint"))
     empty = {"realtime": "baseline", "baseline": "realtime"}[name]
     return rows.select(
         *KEYS,
@@ -30,19 +33,41 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
     )
 
 
-def compare(realtime: DataFrame, baseline: DataFrame) -> DataFrame:
+def _paired(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows of both sides brought together by key.
+
+    Values of the named features travel as columns of one row per (entity, window start), reduced
+    before they move; all other features have rows of their own.
+    """
+    measures = [f"{side}_{what}" for side in ("realtime", "baseline") for what in ("value", "code")]
+    if not features:
+        return rows.groupBy(*KEYS).agg(*[F.max(m).alias(m) for m in measures])
+    name = F.col("feature_name")
+    named = F.coalesce(name.isin(*features), F.lit(False))
+    slots = [(F.lit(f), F.coalesce(name == f, F.lit(False))) for f in features] + [(F.col("other"), ~named)]
+    wide = rows.groupBy("entity_type", "entity_id", "window_start", F.when(~named, name).alias("other")).agg(
+        *[F.max(F.when(hit, F.col(m))).alias(f"{m}{i}") for i, (_, hit) in enumerate(slots) for m in measures]
+    )
+    found = [
+        F.when(
+            F.col(f"realtime_code{i}").isNotNull() | F.col(f"baseline_code{i}").isNotNull(),
+            F.struct(label.alias("feature_name"), *[F.col(f"{m}{i}").alias(m) for m in measures]),
+        )
+        for i, (label, _) in enumerate(slots)
+    ]
+    long = wide.select("entity_type", "entity_id", "window_start", F.explode(F.array(*found)).alias("f"))
+    return long.where(F.col("f").isNotNull()).select("entity_type", "entity_id", "f.feature_name", "window_start", *[f"f.{m}" for m in measures])
+
+
+def compare(realtime: DataFrame, baseline: DataFrame, features: Sequence[str] = ()) -> DataFrame:
     """One row per key on either side, with ``verdict``.
 
     Each side has a key at most once, so pairing them is a hash aggregate over the union: no
-    sort, and null window starts pair like any other.
+    sort, and null window starts pair like any other. ``features`` names those expected, so that
+    fewer rows move; others are compared all the same.
     """
     sides = ("realtime", "baseline")
-    paired = (
-        _side(realtime, "realtime")
-        .unionByName(_side(baseline, "baseline"))
-        .groupBy(*KEYS)
-        .agg(*[F.max(f"{s}_{what}").alias(f"{s}_{what}") for s in sides for what in ("value", "code")])
-    )
+    paired = _paired(_side(realtime, "realtime").unionByName(_side(baseline, "baseline")), features)
     names = F.array(*[F.lit(s) for s in STATUSES])
     present = F.lit(STATUSES.index("PRESENT") + 1)
 
@@ -54,7 +79,7 @@ def compare(realtime: DataFrame, baseline: DataFrame) -> DataFrame:
 
     def status(side: str) -> Column:
         known = F.try_element_at(names, F.col(f"{side}_code").cast("int"))
-        return F.when(F.col(f"{side}_code").isNull(), "MISSING").otherwise(known)
+        return F.when(F.coalesce(F.col(f"{side}_code"), F.lit(-1)) < 0, "MISSING").otherwise(known)
 
     close = F.abs(F.col("realtime_value") - F.col("baseline_value")) <= F.lit(TOLERANCE)
     verdict = (

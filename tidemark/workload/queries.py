@@ -919,7 +919,8 @@ def _compared(spark, sf_dir) -> DataFrame:
         "arrival_time", add_millis(F.col("event_time"), (F.col("l_orderkey") % 13) * MINUTE)
     )
     realtime = compute_features(reject_late(log), BUILT_IN_FEATURES)
-    return parity.compare(realtime, baseline.all_windows(_history(spark, sf_dir)))
+    names = [d.name for d in BUILT_IN_FEATURES]
+    return parity.compare(realtime, baseline.all_windows(_history(spark, sf_dir)), names)
 
 
 @query
