@@ -110,7 +110,7 @@ def test_a_path_is_read_once_however_many_declarations_name_it(spark):
         return row["_paths"], len(row["_declared"])
 
     definitions = [d for d in views.THRESHOLD_FEATURES if d.event_type == "click"]
-    assert reads(definitions) == (["value"], 20)
+    assert reads(definitions) == (["value", None], 20)
     # What is judged is not copied into later steps: each stands in the plan once.
     plan = declared.compute_declared(events, registry_table(spark, definitions))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("missing ") <= 2

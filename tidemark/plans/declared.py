@@ -103,7 +103,7 @@ def _nodes(paths: Column) -> Column:
     return F.transform(
         paths,
         lambda path: F.struct(
-            path.isin(*envelope).alias("is_own"),
+            F.coalesce(path.isin(*envelope), F.lit(False)).alias("is_own"),
             own(path).alias("own"),
             F.try_variant_get(F.col("_document"), _inside(path), "variant").alias("node"),
         ),
@@ -124,16 +124,6 @@ def _field(x: Column) -> Column:
     )
 
 
-def _no_field() -> Column:
-    """What an event has where a declaration names no path."""
-    return F.struct(
-        F.lit(False).alias("present"),
-        F.lit(False).alias("is_number"),
-        F.lit(None).cast("double").alias("number"),
-        F.lit(None).cast("string").alias("text"),
-    )
-
-
 def _compare(operator: Column, left: Column, right: Column) -> Column:
     found = (
         F.when(operator == "EQ", left == right)
@@ -159,13 +149,13 @@ def _filter(d: Column, prefix: str, value: Column) -> tuple[Column, Column]:
     return matches, compares & value["is_number"] & number.isNull()
 
 
-def _contribution(x: Column) -> Column:
-    """What an event adds to declaration ``x.d``, or what is wrong with it."""
-    d, value, weight = x["d"], x["value"], x["weight"]
+def _contribution(d: Column) -> Column:
+    """What an event adds to declaration ``d``, or what is wrong with it."""
+    value, weight, filtered, counts = (F.get("_fields", d[f"{what}_at"]) for what in ("value", "weight", "filter", "numerator"))
     kind = d["aggregation_type"]
     in_scope = F.coalesce((d["scope"] == ANY_ENTITY) | (d["scope"] == F.col("entity.type")), F.lit(False))
-    passes, unusable = _filter(d, "filter", x["filter"])
-    counted, numerator_unusable = _filter(d, "numerator", x["numerator"])
+    passes, unusable = _filter(d, "filter", filtered)
+    counted, numerator_unusable = _filter(d, "numerator", counts)
     matches = in_scope & passes
     weighted = (kind == "AVG") & d["weight_field"].isNotNull()
     numeric = kind.isin("SUM", "AVG", "RATIO")
@@ -209,16 +199,21 @@ def _contribution(x: Column) -> Column:
 def _declared_types(registry: DataFrame) -> DataFrame:
     """One row per event type: its declarations, and the distinct paths that they read.
 
-    ``<what>_at`` is where in ``_paths`` a declaration's path is; null where it names none.
+    ``<what>_at`` is where in ``_paths`` a declaration's path is. The last path is null: where nothing
+    is, for what a declaration does not name.
     """
     rows = declaration_rows(registry)
     facts = F.struct(*[c for c in rows.columns if c != "event_type"])
     types = rows.groupBy(F.col("event_type").alias("_type")).agg(F.array_sort(F.collect_list(facts)).alias("_declared"))
     named = F.flatten(F.transform("_declared", lambda d: F.array(*[d[path] for path in READS.values()])))
-    paths = types.withColumn("_paths", F.array_compact(F.array_distinct(named)))
+    paths = types.withColumn("_paths", F.array_append(F.array_compact(F.array_distinct(named)), F.lit(None)))
 
     def located(d: Column) -> Column:
-        places = [F.array_position(F.col("_paths"), d[path]).cast("int").alias(f"{what}_at") for what, path in READS.items()]
+        last = F.size("_paths")
+        places = [
+            (F.coalesce(F.array_position("_paths", d[path]).cast("int"), last) - 1).alias(f"{what}_at")
+            for what, path in READS.items()
+        ]
         return F.struct(*[d[c].alias(c) for c in rows.columns if c != "event_type"], *places)
 
     return paths.select("_type", "_paths", F.transform("_declared", located).alias("_declared"))
@@ -239,13 +234,7 @@ def evaluate(events: DataFrame, registry: DataFrame) -> DataFrame:
         _nodes(F.coalesce("_paths", empty("_paths"))).alias("_nodes"),
     )
     read = compute_once(known, F.transform("_nodes", _field).alias("_fields"))
-
-    def entry(d: Column) -> Column:
-        values = [F.coalesce(F.get("_fields", d[f"{what}_at"] - 1), _no_field()).alias(what) for what in READS]
-        return F.struct(d.alias("d"), *values)
-
-    joined = compute_once(read, F.transform("_all", entry).alias("_read"))
-    judged = compute_once(joined, F.transform("_read", _contribution).alias("_judged"))
+    judged = compute_once(read, F.transform("_all", _contribution).alias("_judged"))
     matched = F.filter("_judged", lambda c: c["matches"])
     problems = F.filter(F.transform("_judged", lambda c: c["problem"]), lambda p: p.isNotNull())
     supported = F.exists("_judged", lambda c: c["matches"])
