@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,7 +11,9 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    anchored,
     bpe,
+    common,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -160,6 +163,56 @@ def test_suffix_dedup(spark, docs, empty, rows, hot):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def passages(copies):
+    """Texts of which many share passages, ``copies`` of each kind."""
+    rnd = random.Random(5)
+    common, texts = words(rnd, 25), []
+    for _ in range(copies):
+        own = words(rnd, 120)
+        texts += [own, f"{words(rnd, 40)} {own[100:500]}", f"{own[:300]} {common} {words(rnd, 30)}", own]
+    return [(k, t) for k, t in enumerate(texts)]
+
+
+DEDUPS = pytest.mark.parametrize(
+    "dedup", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup], ids=["substring", "suffix"]
+)
+
+
+@DEDUPS
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_dedup_leaves_no_tables_or_shuffles(spark, tmp_path, monkeypatch, dedup, hot):
+    rows = spark.createDataFrame(passages(10), "doc_id long, text string")
+    monkeypatch.setattr(common, "scratch_root", lambda spark: str(tmp_path))
+    shuffles = lambda: {f for f in Path(blocks).rglob("shuffle_*")}
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString()
+    before = shuffles()
+    dedup(rows, hot=hot)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["spans"]
+    # What is left are sums of counts.
+    assert sum(f.stat().st_size for f in shuffles() - before if f.suffix == ".data") < 2_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+
+
+@DEDUPS
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_dedup_without_broadcasts(spark, monkeypatch, docs, rows, dedup, hot):
+    digest = lambda frame: sorted(map(str, frame.collect()))
+    table = spark.createDataFrame(passages(10), "doc_id long, text string")
+    want = digest(dedup(table, hot=hot)), digest(dedup(docs, hot=hot))
+    for limit in ("ANCHORS", "COPIES", "SPANS"):
+        monkeypatch.setattr(anchored, limit, 0)
+    assert (digest(dedup(table, hot=hot)), digest(dedup(docs, hot=hot))) == want
+
+
+def test_segments_meet_anchors_without_text(spark, monkeypatch):
+    monkeypatch.setattr(anchored, "ANCHORS", -1)
+    rows = anchored.keyed(spark.createDataFrame(passages(2), "doc_id long, text string"), "doc_id", "text")
+    found = spark.createDataFrame([], "anchor long, hot boolean")
+    copies = spark.createDataFrame([], "k1 long, k2 long")
+    _, (places,) = anchored.candidates(rows, copies, found, suffix_dedup.byte_units(50, 20))
+    assert places.schema["places"].dataType.elementType.names == ["anchor", "start", "windows", "hot"]
+
+
 def test_decontaminate(spark, docs, empty, rows):
     bench = [(1, words(random.Random(3), 60)), (2, "One"), (3, None), (4, "..."), (None, rows[5][1].upper()), (1, "one")]
     bench = spark.createDataFrame(bench, "item_id long, text string")

@@ -29,11 +29,27 @@ def scratch_root(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """Write ``frame`` to the shared folder and read it back: a table that survives lost executors."""
+# Has Spark drop the shuffle files of a query when it ends; else they stay until the driver collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(frame: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``frame`` to the shared folder and read it back: a table that survives lost executors.
+
+    With ``release`` the shuffle files it took are dropped at once.
+    """
     spark = frame.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if release and before is None:
+            spark.conf.unset(RELEASE)
+        elif release:
+            spark.conf.set(RELEASE, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -35,7 +35,11 @@ def word_units(window: int, gram: int) -> anchored.Units:
         grams = shingles(word_hashes(words), gram) if len(words) >= window else np.zeros(0, np.uint64)
         return grams, lambda a, b: b" ".join(words[a:b])
 
-    return anchored.Units(window, gram, cut)
+    def body(text: str | None):
+        words = words_of(text)
+        return lambda a, b: b" ".join(words[a:b])
+
+    return anchored.Units(window, gram, cut, body)
 
 
 def single_windows(length: int):
@@ -47,7 +51,7 @@ def single_windows(length: int):
 
 
 def index_shard(length: int):
-    def shard(bodies: list[bytes], anchor, windows, k1, k2, start) -> list:
+    def shard(bodies: list[bytes], anchor, windows, k1, k2, start) -> tuple:
         vocabulary: dict[bytes, int] = {}
         ids, sizes = [], []
         for body in bodies:
@@ -83,7 +87,7 @@ def index_shard(length: int):
             order = np.lexsort((far, k2[owner], k1[owner], group))
             best = order[np.flatnonzero(np.diff(group[order], prepend=-1))]
             e1[again], e2[again], at[again] = k1[owner[best]][which], k2[owner[best]][which], far[best][which]
-        return anchored.runs_of(segment, offset, e1, e2, at, len(bodies))
+        return anchored.runs_of(segment, offset, e1, e2, at)
 
     return shard
 
@@ -97,7 +101,10 @@ def substring_dedup(
     hot: int = anchored.HOT,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (words left, one space between)."""
-    before = F.expr("e1 < k1 or (e1 = k1 and (e2 < k2 or (e2 = k2 and at < start + first)))")
+
+    def before(e1, e2, at, k1, k2, place):
+        return (e1 < k1) | ((e1 == k1) & ((e2 < k2) | ((e2 == k2) & (at < place))))
+
     spans = anchored.repeated_spans(
         docs, word_units(window, gram), index_shard(window), single_windows(window),
         seen={"many": F.max("many")}, repeats=F.expr("n > 1 or many"), earlier=before, key=key, text=text, hot=hot,

@@ -71,7 +71,11 @@ def byte_units(window: int, gram: int) -> anchored.Units:
             grams = mix(hashes_of(prefix, np.arange(len(body) - gram + 1), gram))
         return grams, lambda a, b: body[a:b]
 
-    return anchored.Units(window, gram, cut)
+    def body(text: str | None):
+        whole = (text or "").encode("utf-8", "surrogatepass")
+        return lambda a, b: whole[a:b]
+
+    return anchored.Units(window, gram, cut, body)
 
 
 def single_windows(length: int):
@@ -135,7 +139,7 @@ def sort_suffixes(data: np.ndarray, place: np.ndarray, group: np.ndarray, length
 
 
 def sort_shard(length: int):
-    def shard(bodies: list[bytes], anchor, windows, k1, k2, start) -> list:
+    def shard(bodies: list[bytes], anchor, windows, k1, k2, start) -> tuple:
         data = np.frombuffer(b"".join(bodies), np.uint8)
         sizes = np.array([len(b) for b in bodies], np.int64)
         first = np.cumsum(sizes) - sizes
@@ -164,7 +168,7 @@ def sort_shard(length: int):
         e1 = np.empty(len(order), np.int64)
         e1[order] = least[string]
         # Only the document matters; runs go on while it stays the same.
-        return anchored.runs_of(segment, offset, e1, np.zeros_like(e1), offset, len(bodies))
+        return anchored.runs_of(segment, offset, e1, np.zeros_like(e1), offset)
 
     return shard
 
@@ -180,7 +184,8 @@ def suffix_dedup(
     """``docs`` with ``n_bytes``, ``removed_spans`` (byte ranges) and ``kept_bytes``."""
     spans = anchored.repeated_spans(
         docs, byte_units(window, gram), sort_shard(window), single_windows(window),
-        seen={"low": F.min("k1"), "high": F.max("k1")}, repeats=F.expr("low < high"), earlier=F.expr("e1 < k1"), key=key, text=text, hot=hot,
+        seen={"low": F.min("k1"), "high": F.max("k1")}, repeats=F.expr("low < high"),
+        earlier=lambda e1, e2, at, k1, k2, place: e1 < k1, key=key, text=text, hot=hot,
     )
     (name,) = fresh(docs, "spans")
 
