@@ -6,6 +6,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -107,6 +108,32 @@ def test_bpe_round_trip_and_library(docs, empty, rows):
     assert bpe.decode(bpe.encode(empty)).count() == 0
 
 
+def test_bpe_workers_forget_what_they_encoded(spark, docs):
+    """Workers take turns at encoding and decoding: none keeps the encoder's memory after its task."""
+    def held(batches):
+        from tidemark.llm import bpe
+
+        sizes = [bpe.vocabulary.cache_info().currsize for _ in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([max(sizes, default=0)], pa.int32())], names=["held"])
+
+    found = bpe.decode(bpe.encode(docs.repartition(8))).collect()
+    assert len(found) == docs.count()
+    workers = spark.range(8, numPartitions=8).mapInArrow(held, "held int").collect()
+    assert [r["held"] for r in workers] == [0] * 8
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    file = open(bpe.default_tokenizer(), encoding="utf-8").read()
+    free, bound = bpe.Vocabulary(file), bpe.Vocabulary(file)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcdefgh é") for _ in range(300)) for _ in range(20)]
+    want = [free.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    for text, ids in zip(texts, want):
+        assert bound.encode(text).tolist() == ids
+        assert max(map(len, (bound.pairs, bound.words, bound.chunks))) <= 50 < len(free.pairs)
+
+
 def test_jaccard_join(docs, empty, rows, spark):
     alone = unique(rows)
     table = spark.createDataFrame(alone, "doc_id long, text string")

@@ -51,7 +51,7 @@ _LETTER, _NUMBER = rf"(?:(?![{UNASSIGNED}])\p{{L}})", rf"(?:(?![{UNASSIGNED}])\p
 _OTHER = rf"(?:[^\s\p{{L}}\p{{N}}]|[{UNASSIGNED}])"
 LATE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?{_OTHER}+|\s+(?!\S)|\s+"
 
-# Pre-tokens, and runs between spaces, whose ids a task remembers; the memory starts anew beyond that.
+# Pre-tokens, runs between spaces, and pairs of tokens that a task remembers; the memory starts anew beyond that.
 REMEMBERED = 300_000
 
 
@@ -159,7 +159,7 @@ class Vocabulary:
                 if b < 256:
                     break
                 limit, b = b + 1, self.parts[b][0]
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
         self.pairs[(left, right)] = apart
         return apart
@@ -256,7 +256,7 @@ class Offsets:
 
 @lru_cache(maxsize=2)
 def vocabulary(file: str) -> Vocabulary:
-    """Built once per Python worker."""
+    """Built once per task that encodes."""
     return Vocabulary(file)
 
 
@@ -281,7 +281,11 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, id
         values = np.concatenate(found) if found else np.zeros(0, np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
 
-    return with_rows(docs, {ids: T.ArrayType(T.IntegerType())}, make, text)
+    def forget() -> None:
+        # The worker may decode next, or wait, beside one that encodes: only that one needs the memory.
+        vocabulary.cache_clear()
+
+    return with_rows(docs, {ids: T.ArrayType(T.IntegerType())}, make, text, done=forget)
 
 
 def decode(frame: DataFrame, ids: str = "token_ids", tokenizer: str | None = None, text: str = "decoded") -> DataFrame:

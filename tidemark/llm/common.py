@@ -121,12 +121,17 @@ def give_back() -> None:
 
 
 def with_rows(
-    frame: DataFrame, columns: dict[str, T.DataType], make: Callable[[list[pa.Array]], list], *inputs: str
+    frame: DataFrame,
+    columns: dict[str, T.DataType],
+    make: Callable[[list[pa.Array]], list],
+    *inputs: str,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``frame`` with new columns that a Python function makes from whole input columns.
 
     ``make`` gets the input columns of one Arrow batch and returns one list or array per new
-    column. A column of ``frame`` named like a new one is replaced.
+    column. A column of ``frame`` named like a new one is replaced. ``done`` is called at the end of
+    each task, before freed memory is returned.
     """
     schema = replacing(frame, columns)
     lists = {n: t for n, t in columns.items()}
@@ -145,6 +150,8 @@ def with_rows(
                     [*(part.column(c) for c in kept), *made], names=[*kept, *lists]
                 )
             batch = part = made = None
+        if done:
+            done()
         give_back()
 
     return frame.mapInArrow(run, schema)
